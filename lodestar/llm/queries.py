@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, jaccard, language_id, licences, packing, quality, topk, url_rules, warc
+from lodestar.llm import bpe, jaccard, language_id, licences, packing, quality, suffix_dedup, topk, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree: source / thousands / hundreds / id."""
     docs = _table(spark, sf_dir, "documents")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_pack": op4_pack,
     "op5_jaccard": op5_jaccard,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_licences": op7_licences,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
