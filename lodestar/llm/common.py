@@ -1,35 +1,13 @@
-"""What the corpus operators share: the shared folder, lineage cuts, joins on skewed keys, components."""
+"""What the corpus operators share: joins on skewed keys, components, samples."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.storage import cut
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; driver and executors all see it.
-
-    Only where that setting is missing and the master is local, a temporary folder takes its place.
-    """
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df to the shared folder and reads it again: what follows survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "cut", "sampled", "skew_join"]
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner", share: int = 1000) -> DataFrame:
@@ -50,7 +28,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Alternating large-star and small-star steps; every step is an aggregation with partial sums and
     a join that survives hubs, and is written out. Self loops add vertices. Null ends are ignored.
     """
-    spark = edges.sparkSession
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
     vertices = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
