@@ -134,9 +134,9 @@ def max_inner_product(spark, d):
     return knn.max_inner_product(queries(spark, d, 1, True), vectors(spark, d, True), 10, DIM, "long")
 
 
-@query(f"WITH {_V} SELECT q.id AS qid, w.id AS id, -{_DOTU} AS dist FROM vectors q JOIN vectors w ON q.id % 10 = 3 AND w.id % 50 = 0")
+@query(f"WITH {_V} SELECT q.id AS qid, w.id AS id, -{_DOTU} AS dist FROM vectors q JOIN vectors w ON q.id % 10 = 3")
 def neg_inner_product(spark, d):
-    met = knn.all_pairs(queries(spark, d, 1, True), vectors(spark, d, True).where("id % 50 = 0"))
+    met = knn.all_pairs(queries(spark, d, 1, True), vectors(spark, d, True))
     return met.select("qid", "id", dist.negative_inner_product(F.col("qv"), F.col("v"), DIM, "long").alias("dist"))
 
 
@@ -145,30 +145,30 @@ def _tokens(spark, d):
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\f\\r\\v]+')) AS col FROM documents), c AS (SELECT doc_id, col, count(*) AS val FROM t WHERE col <> '' GROUP BY ALL),
-s AS (SELECT q.doc_id AS qid, c.doc_id AS id, CAST(sum(q.val * c.val) AS BIGINT) AS dist FROM c q JOIN c USING (col) WHERE q.doc_id % 100 = 3 GROUP BY ALL)
+s AS (SELECT q.doc_id AS qid, c.doc_id AS id, CAST(sum(q.val * c.val) AS BIGINT) AS dist FROM c q JOIN c USING (col) WHERE q.doc_id % 100 = 0 GROUP BY ALL)
 SELECT qid, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def sparse_mips(spark, d):
     t = _tokens(spark, d)
-    return knn.sparse_mips(t.where("doc_id % 100 = 3").withColumnRenamed("doc_id", "qid"), t.withColumnRenamed("doc_id", "id"), 10)
+    return knn.sparse_mips(t.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid"), t.withColumnRenamed("doc_id", "id"), 10)
 
 
-@query(f"WITH {_V} SELECT q.id AS qid, w.id AS id, round(sqrt({_L2}), 6) AS dist FROM vectors q JOIN vectors w ON q.id % 10 = 3 AND w.id % 50 = 0")
+@query(f"WITH {_V} SELECT q.id AS qid, w.id AS id, round(sqrt({_L2}), 6) AS dist FROM vectors q JOIN vectors w ON q.id % 10 = 3")
 def l2_distance(spark, d):
-    met = knn.all_pairs(queries(spark, d, 1), vectors(spark, d).where("id % 50 = 0"))
+    met = knn.all_pairs(queries(spark, d, 1), vectors(spark, d))
     return met.select("qid", "id", F.round(dist.l2(F.col("qv"), F.col("v"), DIM), 6).alias("dist"))
 
 
-@query(f"WITH {_V} SELECT q.id AS qid, w.id AS id, {_L2U} AS dist FROM vectors q JOIN vectors w ON q.id % 10 = 3 AND w.id % 50 = 0")
+@query(f"WITH {_V} SELECT q.id AS qid, w.id AS id, {_L2U} AS dist FROM vectors q JOIN vectors w ON q.id % 10 = 3")
 def l2_squared_u8(spark, d):
-    met = knn.all_pairs(queries(spark, d, 1, True), vectors(spark, d, True).where("id % 50 = 0"))
+    met = knn.all_pairs(queries(spark, d, 1, True), vectors(spark, d, True))
     return met.select("qid", "id", dist.l2_squared(F.col("qv"), F.col("v"), None, "long").alias("dist"))
 
 
-@query(f"""WITH {_V}, t AS (SELECT q.id AS qid, w.id AS id, i, (q.u[i] - w.u[i]) * (q.u[i] - w.u[i]) AS x FROM vectors q JOIN vectors w ON q.id % 10 = 3 AND w.id % 50 = 0, range(1, 65) r(i)),
+@query(f"""WITH {_V}, t AS (SELECT q.id AS qid, w.id AS id, i, (q.u[i] - w.u[i]) * (q.u[i] - w.u[i]) AS x FROM vectors q JOIN vectors w ON q.id % 10 = 3, range(1, 65) r(i)),
 p AS (SELECT qid, id, i, CAST(sum(x) OVER (PARTITION BY qid, id ORDER BY i) AS BIGINT) AS s FROM t)
 SELECT qid, id, coalesce(min(s) FILTER (WHERE s > 20000), max(s)) AS dist FROM p GROUP BY qid, id""")
 def l2_early_stop(spark, d):
-    met = knn.all_pairs(queries(spark, d, 1, True), vectors(spark, d, True).where("id % 50 = 0"))
+    met = knn.all_pairs(queries(spark, d, 1, True), vectors(spark, d, True))
     return met.select("qid", "id", dist.l2_early_stop(F.col("qv"), F.col("v"), F.lit(20000), "long").alias("dist"))
 
 
@@ -285,6 +285,17 @@ def query_schedule_order(spark, d):
     return router.sized(_mixed(spark, d), vec_labels(spark, d)).select("qid", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query(_ROUTE + """, m AS (SELECT z.qid, z.case_name, x.id FROM z JOIN vl x ON x.label = z.a WHERE z.b IS NULL OR EXISTS (SELECT 1 FROM vl y WHERE y.label = z.b AND y.id = x.id)),
+c AS (SELECT qid, case_name, count(*) AS n FROM m GROUP BY ALL)
+SELECT case_name, count(*) AS n, CAST(sum(least(n, 10)) AS BIGINT) AS hits, CAST(1 AS DOUBLE) AS recall, CAST(sum(n) AS BIGINT) AS dist_comps FROM c GROUP BY case_name""")
+def router_case_stats(spark, d):
+    q, vl, v = _mixed(spark, d), vec_labels(spark, d), vectors(spark, d, True)
+    found = router.routed_search(q, vl, v, CFG, DIM, "long")
+    truth = knn.filtered_knn(q, vl, v, 10, DIM, "long")
+    cost = labels.specificity(q, vl).select("qid", F.col("n").alias("dist_comps"))
+    return metrics.case_stats(metrics.query_log(router.route(q, vl, CFG), metrics.recall_per_query(found, truth, 10), cost))
+
+
 # clustered search
 
 _KM = f"""WITH {_V}, {_L}, {_SZ}, pt AS (SELECT vl.label, w.id, w.u, row_number() OVER (PARTITION BY vl.label ORDER BY w.id) - 1 AS cid, sz.n FROM vl JOIN sz ON sz.label = vl.label AND sz.n > 50 JOIN vectors w ON w.id = vl.id),
@@ -418,6 +429,23 @@ def label_overlap_matrix(spark, d):
     return labels.overlap(vec_labels(spark, d), ids.join(vectors(spark, d).select(F.col("id").alias("dst")), "dst", "left_semi"))
 
 
+def _neighbours(spark, d):
+    """Directed edges to the 8 nearest other rows."""
+    v = vectors(spark, d, True)
+    found = knn.unfiltered_knn(v.select(F.col("id").alias("qid"), F.col("v").alias("qv")), v, 8, DIM, "long", exclude_self=True)
+    return found.select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
+
+
+@query(f"WITH {_V}, {_L}, g AS ({_topk(_L2U, 'vectors q JOIN vectors w ON w.id <> q.id', 8)}), o AS (SELECT g.qid AS src, g.id AS dst, g.dist, count(*) AS overlap FROM g JOIN vl x ON x.id = g.qid JOIN vl y ON y.id = g.id AND y.label = x.label GROUP BY ALL) SELECT src, dst, dist, overlap FROM o WHERE overlap >= 2")
+def shared_edge_candidates(spark, d):
+    return hybrid_graph.shared_candidates(_neighbours(spark, d), vec_labels(spark, d), CFG.min_shared)
+
+
+@query(f"WITH {_L}, {_SZ} SELECT max(label) AS max_label, count(*) AS n_labels, CAST(sum(n) AS BIGINT) AS nnz FROM sz")
+def label_extent(spark, d):
+    return labels.label_sizes(vec_labels(spark, d)).agg(F.max("label").alias("max_label"), F.count("*").alias("n_labels"), F.sum("n").alias("nnz"))
+
+
 @query(f"WITH {_L}, {_SZ} SELECT label, n, CASE WHEN n <= 100 THEN 8 WHEN n <= 400 THEN 10 ELSE 12 END AS degree FROM sz WHERE n > 50")
 def graph_degree_by_group(spark, d):
     return labels.big_labels(vec_labels(spark, d), 50).select("label", "n", F.when(F.col("n") <= 100, 8).when(F.col("n") <= 400, 10).otherwise(12).alias("degree"))
@@ -550,9 +578,9 @@ def graph_degree_histogram(spark, d):
     return graph.degree_histogram(edges(spark, d), 2)
 
 
-@query(f"WITH {_E} SELECT c_custkey % 5 AS qid, dst FROM customer JOIN e ON src = c_custkey WHERE c_custkey < 50 GROUP BY ALL")
+@query(f"WITH {_E} SELECT c_custkey % 5 AS qid, dst FROM customer JOIN e ON src = c_custkey GROUP BY ALL")
 def graph_expand(spark, d):
-    f = table(spark, d, "customer").where("c_custkey < 50").select((F.col("c_custkey") % 5).alias("qid"), F.col("c_custkey").alias("id"))
+    f = table(spark, d, "customer").select((F.col("c_custkey") % 5).alias("qid"), F.col("c_custkey").alias("id"))
     return graph.expand(f, edges(spark, d))
 
 
@@ -589,10 +617,9 @@ def seq_filter_map(spark, d):
     return _seq(spark, d).where("x % 3 = 1").select("i", (F.col("x") * 2).alias("x"))
 
 
-@query(f"WITH {_S}, a AS (SELECT x, 0 AS side, i FROM s WHERE i < 500 UNION ALL SELECT x, 1, i FROM s WHERE i BETWEEN 500 AND 1200) SELECT row_number() OVER (ORDER BY x, side, i) - 1 AS i, x FROM a")
+@query(f"WITH {_S}, t AS (SELECT i, CASE WHEN i > 700 AND x % 5 = 0 THEN x + 1 ELSE x END AS y FROM s), a AS (SELECT x, 0 AS side, i FROM s UNION ALL SELECT y, 1, i FROM t) SELECT row_number() OVER (ORDER BY x, side, i) - 1 AS i, x FROM a")
 def seq_merge(spark, d):
-    s = _seq(spark, d)
-    return sequence.merge(s.where("i < 500"), s.where("i between 500 and 1200"))
+    return sequence.merge(_seq(spark, d), _twin(spark, d))
 
 
 @query(f"WITH {_S} SELECT row_number() OVER (ORDER BY x, i) - 1 AS i, x, i AS was FROM s")
@@ -646,6 +673,13 @@ def seq_search(spark, d):
     return sequence.search(s, pattern)
 
 
+@query(f"WITH {_S}, n AS (SELECT i, x, lead(x) OVER (ORDER BY i) AS y, count(*) OVER () AS n FROM s), w AS (SELECT x AS p, y AS r FROM n WHERE i = 77) SELECT coalesce(max(i) FILTER (WHERE x = p AND y = r), max(n)) AS i FROM n, w")
+def seq_find_end(spark, d):
+    s = _seq(spark, d)
+    pattern = [r.x for r in s.where("i between 77 and 78").orderBy("i").collect()]
+    return sequence.search(s, pattern, last=True)
+
+
 @query(f"WITH {_S}, n AS (SELECT i, x // 300 AS x, lag(x // 300) OVER (ORDER BY i) AS y FROM s) SELECT i, x FROM n WHERE i = 0 OR x <> y")
 def seq_unique(spark, d):
     return sequence.unique(_seq(spark, d).select("i", F.expr("x div 300").alias("x")))
@@ -696,11 +730,11 @@ def seq_split_at(spark, d):
     return sequence.split_at(_seq(spark, d), F.col("x") % 50 == 0).withColumn("part", F.col("part").cast("long"))
 
 
-@query(f"WITH {_S} SELECT i, x FROM s UNION ALL SELECT i + (SELECT count(*) FROM s), x FROM s WHERE i < 100")
+@query(_T + " SELECT i, x FROM s UNION ALL SELECT i + (SELECT count(*) FROM s), y FROM t")
 def seq_append(spark, d):
     s = _seq(spark, d)
     n = s.agg(F.count("*").alias("n"))
-    return s.unionByName(s.where("i < 100").join(F.broadcast(n)).select((F.col("i") + F.col("n")).alias("i"), "x"))
+    return s.unionByName(_twin(spark, d).join(F.broadcast(n)).select((F.col("i") + F.col("n")).alias("i"), "x"))
 
 
 @query(_T + " SELECT i, x, y FROM p")
@@ -718,10 +752,10 @@ def seq_kth_smallest(spark, d):
     return sequence.kth_smallest(_seq(spark, d), 100)
 
 
-@query(f"WITH {_S} SELECT x % 50 AS k, count(*) AS n, CAST(sum(i) AS BIGINT) AS total, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE i < 2000) AS members FROM s GROUP BY 1")
+@query(f"WITH {_S} SELECT x % 50 AS k, count(*) AS n, CAST(sum(i) AS BIGINT) AS total, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS members FROM s GROUP BY 1")
 def seq_group_by_key(spark, d):
     s = _seq(spark, d).withColumn("k", F.col("x") % 50)
-    return s.groupBy("k").agg(F.count("*").alias("n"), F.sum("i").alias("total"), F.sort_array(F.collect_list(F.when(F.col("i") < 2000, F.col("i")))).alias("m")).select("k", "n", "total", F.when(F.size("m") > 0, _line(F.col("m"))).alias("members"))
+    return s.groupBy("k").agg(F.count("*").alias("n"), F.sum("i").alias("total"), F.sort_array(F.collect_list("i")).alias("m")).select("k", "n", "total", _line(F.col("m")).alias("members"))
 
 
 @query(f"WITH {_S} SELECT k, CAST(coalesce(sum(i), 0) AS BIGINT) AS total, count(i) AS n FROM range(1500) t(k) LEFT JOIN s ON x = k GROUP BY k")

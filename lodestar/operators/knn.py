@@ -27,9 +27,10 @@ def filtered_knn(queries: DataFrame, labels: DataFrame, vectors: DataFrame, k: i
 
 
 def all_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Every query with every row: a stated query set against all rows, in blocks of rows."""
-    blocks = queries.select("qid", "qv", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("block"))
-    rows = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int").alias("block"))
+    """Every query with every row: a stated query set against all rows, in as many blocks of rows as there are shuffle partitions."""
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = queries.select("qid", "qv", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    rows = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
     return blocks.join(rows, "block")
 
 
@@ -52,8 +53,9 @@ def range_search(queries: DataFrame, vectors: DataFrame, radius_squared: float,
 
 def partitioned_knn(queries: DataFrame, vectors: DataFrame, k: int, dim: int | None = None, kind: str = "double") -> DataFrame:
     """Queries search only the rows of their population (column population on both sides)."""
-    rows = vectors.select("id", "v", "population", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("block"))
-    asked = queries.select("qid", "qv", "population", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("block"))
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = vectors.select("id", "v", "population", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
+    asked = queries.select("qid", "qv", "population", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
     met = asked.join(rows, ["population", "block"])
     return top_k(met.select("qid", "id", l2_squared(F.col("qv"), F.col("v"), dim, kind).alias("dist")), k)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.storage import cut
+
 
 def recall_per_query(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """qid, hits, wanted, recall: of the true neighbours within rank k, how many were found within rank k."""
@@ -42,3 +44,28 @@ def case_stats(log: DataFrame) -> DataFrame:
 def write_summary(rows: DataFrame, path: str) -> None:
     """Appends index, beam_width, num_clusters, runtime, recall, qps, avg_dist_comps as CSV."""
     rows.select("index", "beam_width", "num_clusters", "runtime", "recall", "qps", "avg_dist_comps").write.mode("append").option("header", True).csv(path)
+
+
+def query_log(routes: DataFrame, per_query: DataFrame, cost: DataFrame) -> DataFrame:
+    """One row a query: its route (qid, arity, a, size_a, b, size_b, strategy, case_name), hits, wanted and dist_comps."""
+    scored = per_query.select("qid", "hits", "wanted")
+    out = routes.join(scored, "qid", "left").join(cost.select("qid", "dist_comps"), "qid", "left")
+    return out.fillna(0, ["hits", "wanted", "dist_comps"])
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    log.write.mode("append").option("header", True).csv(path)
+
+
+def sweep(run, truth: DataFrame, values: list[int], k: int) -> list[dict]:
+    """For each setting (beam width or clusters probed) the runtime, recall and queries a second of run(setting)."""
+    import time
+
+    n = truth.select("qid").distinct().count()
+    out = []
+    for value in values:
+        began = time.perf_counter()
+        found = cut(run(value), "found")
+        seconds = time.perf_counter() - began
+        out.append({"setting": value, "runtime": seconds, "qps": n / seconds, "recall": recall(found, truth, k).first().recall})
+    return out

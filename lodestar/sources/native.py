@@ -213,3 +213,39 @@ def write_knn(results: DataFrame, path: str, queries: int, k: int) -> None:
 def convert(spark: SparkSession, source: str, source_kind: str, target: str, target_kind: str, bound: int | None = None) -> None:
     """Rewrites a dense file in another layout, at most bound rows."""
     write_vectors(read(spark, source, source_kind, bound), target, target_kind)
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """place, id from a file of an int32 count and that many int32 ids (entry points, list members)."""
+    with _open(path) as f:
+        n = int(_array(f, 0, 1, "<i4")[0])
+        ids = _array(f, 4, n, "<i4").tolist()  # one number a big label
+    return spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "place long, id long")
+
+
+def write_ids(ids: list[int], path: str) -> None:
+    with open(path, "wb") as f:
+        f.write(np.array([len(ids), *ids], "<i4").tobytes())
+
+
+def write_lists(members: DataFrame, centroids: DataFrame, path: str) -> None:
+    """One label's lists: cluster numbers of its members by id in path-mem, centroids by cid in path-cen."""
+    with open(f"{path}-mem", "wb") as f:
+        for r in members.orderBy("id").select("cid").toLocalIterator():
+            f.write(struct.pack("<i", r.cid))
+    write_vectors(centroids.selectExpr("cid as id", "cv as v"), f"{path}-cen", "fbin")
+
+
+def read_lists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(place, cid) of the members in the order of their ids, and (cid, cv)."""
+    spark.dataSource.register(NativeSource)
+    centroids = read(spark, f"{path}-cen", "fbin").selectExpr("id as cid", "v as cv")
+    raw = spark.read.format("binaryFile").load(f"{path}-mem").select("content")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                codes = np.frombuffer(value.as_py(), "<i4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(codes))), pa.array(codes)], names=["place", "cid"])
+
+    return raw.mapInArrow(decode, "place long, cid long"), centroids

@@ -127,3 +127,13 @@ def test_entry_without_llm(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_list_and_id_files(spark, tmp_path):
+    native.write_ids([4, 9], str(tmp_path / "e"))
+    assert [tuple(r) for r in native.read_ids(spark, str(tmp_path / "e")).orderBy("place").collect()] == [(0, 4), (1, 9)]
+    members = spark.createDataFrame([(7, 1), (3, 0)], "id long, cid long")
+    centroids = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "cid long, cv array<double>")
+    native.write_lists(members, centroids, str(tmp_path / "i"))
+    got, cen = native.read_lists(spark, str(tmp_path / "i"))
+    assert [r.cid for r in got.orderBy("place").collect()] == [0, 1] and [r.cv for r in cen.orderBy("cid").collect()] == [[1.0], [2.0]]
