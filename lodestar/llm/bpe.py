@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words kept by a Python worker in each of two generations, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 100_000, 48
+CACHE_WORDS, CACHE_CHARS = 250_000, 48
 _NONE = 1 << 62
 #: White space, and the patterns of the two pre-tokenizers.
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -50,50 +50,72 @@ def merge(ids: list[int], ranks: dict[int, int]) -> list[int]:
     n = len(ids)
     if n < 2:
         return ids
+    get, none = ranks.get, _NONE
     size = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [_NONE] * (2 * size)
-    get = ranks.get
+    tree = [none] * size
+    some = False
     for i in range(n - 1):
         v = get(ids[i] << 20 | ids[i + 1])
-        if v is not None:
-            tree[size + i] = (v >> 20) << 32 | i
+        if v is None:
+            tree.append(none)
+        else:
+            tree.append((v >> 20) << 32 | i)
+            some = True
+    if not some:
+        return ids
+    tree += [none] * (2 * size - len(tree))
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-    if tree[1] == _NONE:
-        return ids
-    after, before = list(range(1, n + 1)), list(range(-1, n))
-
-    def put(leaf: int, value: int) -> None:
-        k = size + leaf
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                break
-            tree[k] = least
-            k >>= 1
-
-    ids = ids.copy()
-    while (root := tree[1]) != _NONE:
+    after, before, ids = list(range(1, n + 1)), list(range(-1, n)), ids.copy()
+    while (root := tree[1]) != none:
         i = root & 0xFFFFFFFF
         j = after[i]
         ids[i] = get(ids[i] << 20 | ids[j]) & 0xFFFFF
-        k = after[j]
-        after[i] = k
-        if k <= n - 1:
-            before[k] = i
         ids[j] = -1
-        if j < n - 1:
-            put(j, _NONE)
-        v = get(ids[i] << 20 | ids[k]) if k < n else None
-        put(i, _NONE if v is None else (v >> 20) << 32 | i)
+        after[i] = k = after[j]
+        new = none
+        if k < n:
+            before[k] = i
+            if j < n - 1 and tree[size + j] != none:  # the right part's own pair is gone
+                leaf = size + j
+                tree[leaf] = none
+                while leaf > 1:
+                    a, b = tree[leaf], tree[leaf ^ 1]
+                    leaf >>= 1
+                    if b < a:
+                        a = b
+                    if tree[leaf] == a:
+                        break
+                    tree[leaf] = a
+            v = get(ids[i] << 20 | ids[k])
+            if v is not None:
+                new = (v >> 20) << 32 | i
+        leaf = size + i
+        tree[leaf] = new
+        while leaf > 1:
+            a, b = tree[leaf], tree[leaf ^ 1]
+            leaf >>= 1
+            if b < a:
+                a = b
+            if tree[leaf] == a:
+                break
+            tree[leaf] = a
         h = before[i]
         if h >= 0:
             v = get(ids[h] << 20 | ids[i])
-            put(h, _NONE if v is None else (v >> 20) << 32 | h)
+            new = none if v is None else (v >> 20) << 32 | h
+            leaf = size + h
+            if tree[leaf] != new:
+                tree[leaf] = new
+                while leaf > 1:
+                    a, b = tree[leaf], tree[leaf ^ 1]
+                    leaf >>= 1
+                    if b < a:
+                        a = b
+                    if tree[leaf] == a:
+                        break
+                    tree[leaf] = a
     return [x for x in ids if x >= 0]
 
 
@@ -133,8 +155,13 @@ class Vocabulary:
         """The ids, as little-endian 32-bit integers, and the joined token strings of a run of text."""
         got = self.old.get(chunk)
         if got is None:
-            ids = [i for piece in self.pieces.findall(chunk) for i in self.word(piece)]
-            got = array("I", ids).tobytes(), self.text(ids)
+            pieces = [chunk] if chunk.isalpha() else self.pieces.findall(chunk)
+            if len(pieces) > 1 and self.by_word:  # the words in it may be known
+                parts = [self.young.get(x) or self.chunk(x) for x in pieces]
+                got = b"".join([a for a, _ in parts]), " ".join([b for _, b in parts])
+            else:
+                ids = [i for piece in pieces for i in self.word(piece)]
+                got = array("I", ids).tobytes(), self.text(ids)
             if len(chunk) > CACHE_CHARS:
                 return got
         if len(self.young) >= CACHE_WORDS:
