@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.fixtures import DIM, edges, queries, table, vec_labels, vectors
 from lodestar.functions import distance as dist
+from lodestar.functions import scalar
 from lodestar.operators import graph, knn, labels, metrics, prep, sequence, sets
 from lodestar.plans import hybrid_graph, ivf, router
 from lodestar.schema import SearchConfig
@@ -584,6 +585,22 @@ def graph_expand(spark, d):
     return graph.expand(f, edges(spark, d))
 
 
+# scalars
+
+
+@query(f"WITH {_S} SELECT i, CAST(CASE WHEN x <= 1 THEN 0 ELSE length(bin(x - 1)) END AS BIGINT) AS log2_up FROM s")
+def fn_log2_up(spark, d):
+    return _seq(spark, d).select("i", scalar.log2_up(F.col("x")).alias("log2_up"))
+
+
+@query(f"WITH {_L} SELECT vec_id AS id, j AS label, EXISTS (SELECT 1 FROM vl WHERE vl.id = vec_id AND vl.label = j) AS member FROM embeddings, range(24) t(j)")
+def fn_bit_test(spark, d):
+    rows = labels.label_rows(vec_labels(spark, d))
+    every = vectors(spark, d).select("id").join(rows, "id", "left").select("id", scalar.bit_words(F.coalesce("labels", F.array().cast("array<long>")), 1).alias("words"))
+    each = every.select("id", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("label"))
+    return each.select("id", "label", scalar.bit_test(F.col("words"), F.col("label")).alias("member"))
+
+
 # sequences
 
 
