@@ -12,7 +12,8 @@ a task keeps k rows for each query, and a window merges the tasks' rows.
 
 Null vectors and vectors that hold null or non-finite components take no part, as rows or queries;
 nor do rows without an id. Shorter vectors count as padded with zeros. Ties go to the smaller id.
-Rows that share an id count once (with their best score) and never answer their own id. Empty
+Rows that share an id count once (with their best score; the
+smallest vector asks) and never answer their own id. Empty
 tables give empty results; other columns are ignored. Scores must fit in 64 bits.
 """
 
@@ -206,7 +207,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_c
     """query_id, rank, vec_id, score: for each row where is_query (a Column), the k best other rows."""
     spark = vectors.sparkSession
     blocks = index(vectors, id_col, vector_col, scale)
-    asked = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null").dropDuplicates(["id"])
+    asked = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
     found = None
