@@ -35,11 +35,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        """pairs (u, v): every u knows the neighbours v that this step moves to the smallest of them and u."""
-        pairs = cut(pairs, "pairs")
-        least = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
-        total = pairs.count()
+    def star(pairs: DataFrame, total: int, large: bool) -> DataFrame:
+        """pairs (u, v): every u moves the neighbours v that this step concerns to the smallest of them and u."""
+        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         met = skew_join(pairs, least, "u", "n", total)
         if large:
             out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -52,8 +50,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if before[0] == 0:
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        now = star(both, True)
-        now = star(now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False)
+        now = star(both, 2 * before[0], True)
+        now = star(now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), before[0], False)
         after = state(now)
         if after == before:
             break
