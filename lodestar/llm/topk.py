@@ -13,7 +13,7 @@ a task keeps k rows for each query, and a window merges the tasks' rows.
 Null vectors and vectors that hold null or non-finite components take no part, as rows or queries;
 nor do rows without an id. Shorter vectors count as padded with zeros. Ties go to the smaller id.
 Rows that share an id count once (with their best score; the
-smallest vector asks) and never answer their own id. Empty
+smallest vector asks) and never answer their own id, however many they are. Empty
 tables give empty results; other columns are ignored. Scores must fit in 64 bits.
 """
 
@@ -140,6 +140,31 @@ def at_least(scores: list[np.ndarray], bound: int, rows: np.ndarray) -> np.ndarr
     return more | same
 
 
+def others(rows: np.ndarray, ids: np.ndarray, qid: int) -> np.ndarray:
+    """The bitmap without the rows of an id."""
+    own = np.flatnonzero(ids == qid)
+    if len(own):
+        rows = rows.copy()
+        np.bitwise_and.at(rows, own >> 6, ~(np.uint64(1) << (own & 63).astype(np.uint64)))
+    return rows
+
+
+def members(rows: np.ndarray, n: int) -> np.ndarray:
+    """The places of the rows of a bitmap over n rows."""
+    return np.flatnonzero(np.unpackbits(rows.view(np.uint8), bitorder="little")[:n])
+
+
+def kth_id(scores: list[np.ndarray], rows: np.ndarray, ids: np.ndarray, k: int, unique: bool) -> int | None:
+    """A value that rows of at least k distinct ids reach, the k-th largest if ids are unique; None if fewer than k ids are sure to."""
+    want = k
+    while (value := select_top(scores, rows, want)) is not None and not unique:
+        reached = ids[members(at_least(scores, value, rows), len(ids))]
+        if len(np.unique(reached)) >= k:
+            break
+        want = 2 * len(reached)
+    return value
+
+
 def search_block(ids: np.ndarray, exact: np.ndarray, slices: np.ndarray, low: int, drop: int, qids: np.ndarray, queries: np.ndarray, k: int, best: list) -> None:
     """Merges a block into best, which has (scores, ids) of each query, best first."""
     n, d = exact.shape
@@ -150,6 +175,7 @@ def search_block(ids: np.ndarray, exact: np.ndarray, slices: np.ndarray, low: in
     values, half = np.zeros((n, width)), ((1 << drop) - 1) / 2
     values[:, :d] = exact
     rest = values[:, :d] - ((exact >> drop) << drop) - half
+    unique = len(np.unique(ids)) == n
     rest_norm, norm = np.sqrt((rest**2).sum(1)).max(initial=0), np.sqrt((values**2).sum(1)).max(initial=0)
     for i, (qid, query) in enumerate(zip(qids, queries, strict=True)):
         q = np.zeros(width, np.int64)
@@ -161,14 +187,14 @@ def search_block(ids: np.ndarray, exact: np.ndarray, slices: np.ndarray, low: in
         unit, high = 1 << (2 * drop), (coarse_q << drop)[:d].astype(float)
         middle = float(high.sum() * half)
         error = float(np.sqrt((high**2).sum()) * rest_norm + np.sqrt(((q - (coarse_q << drop)).astype(float) ** 2).sum()) * norm) * (1 + 1e-9) + 1
-        kth = select_top(scores, valid, k + 1)  # one more: the query's own row may be among them
+        kth = kth_id(scores, others(valid, ids, qid), ids, k, unique)
         floor = -np.inf if kth is None else unit * (kth + offset) + middle - error
         have = best[i]
         if len(have[0]) == k:
             floor = max(floor, float(have[0][-1]))
         bound = None if floor == -np.inf else int(np.ceil((floor - middle - error) / unit)) - offset
         near = valid if bound is None else at_least(scores, bound, valid)
-        rows = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[:n])
+        rows = members(near, n)
         rows = rows[ids[rows] != qid]
         if not len(rows):
             continue
