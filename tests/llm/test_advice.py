@@ -1,11 +1,12 @@
 """Tests of what the review found missing."""
 
 import collections
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestar.llm import topk
+from lodestar.llm import licences, topk
 
 
 def test_topk_with_repeated_ids(spark):
@@ -28,3 +29,29 @@ def test_topk_with_repeated_ids(spark):
         have = {i for i, _ in few}
         want = {q: [(b, -a) for a, b in sorted((-s, i) for i, s in best[q].items() if i in have)[:10]] for q in (0, 100) if q in have}
         assert got == want
+
+
+def wrapped(text, width=9):
+    w = text.split()
+    return "\n".join("# " + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+
+def test_licences_across_lines_and_in_full(spark):
+    texts = {p.name: p.read_text() for p in (Path(licences.__file__).parent / "licence_texts").iterdir()}
+    code = "\n".join(f"value{i} = compute(item{i}, other{i % 7})" for i in range(150))
+    mit = texts["MIT"].split("\n\n", 1)[1] if texts["MIT"].startswith("MIT") else texts["MIT"]
+    cases = {f"full/{name}/x.txt": (text, name) for name, text in texts.items()}
+    cases |= {
+        "tag/1": ("// SPDX-License-Identifier: MIT\n" + code, "MIT"), "tag/2": ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        "tag/3": ("/* SPDX-License-Identifier: MPL-2.0 */", "MPL-2.0"), "tag/4": (code + "\n# SPDX-License-Identifier: GPL-3.0-only\n" + code, "GPL-3.0"),
+        "tag/5": ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND Zlib", "Apache-2.0"), "tag/6": ("SPDX-License-Identifier: Zlib", "Zlib"),
+        "head/mit": (wrapped(mit) + "\n" + code, "MIT"), "head/after": (code + "\n" + wrapped(mit) + "\n" + code, "MIT"),
+        "head/apache": (wrapped(licences.TEMPLATES["Apache-2.0"][0]) + "\n" + code, "Apache-2.0"),
+        "head/gpl": (wrapped(licences.TEMPLATES["GPL-3.0"][0]) + "\n" + code, "GPL-3.0"), "head/lgpl": (wrapped(licences.TEMPLATES["LGPL-3.0"][0], 5) + "\n" + code, "LGPL-3.0"),
+        "head/short": (code + "\nThis work is licensed under the GNU\nGeneral Public License,\nversion 3.\n" + code, "GPL-3.0"),
+        "none/1": ("the driver had no license and " + code * 9, None), "none/2": ("copyright\n" + "the of and to in that it was for on as with his be at by this had not are " * 300, None),
+    }
+    cases |= {"full/MIT/below.c": ("int x;", "MIT"), "head/below.c": ("int x;", None)}
+    data = [(i, path, text) for i, (path, (text, _)) in enumerate(cases.items())]
+    got = {r.path: r.licence for r in licences.scan(spark.createDataFrame(data, "doc_id long, path string, text string")).collect()}
+    assert got == {path: want for path, (_, want) in cases.items()}
