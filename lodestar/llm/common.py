@@ -65,10 +65,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def sampled(rows: DataFrame, group: str, each: int, key: str) -> DataFrame:
     """About each rows of every group (all, if fewer), picked by a hash of key: the bounded sample for fitting.
 
-    Two passes; the first reads only the group column. Groups past the 64 most frequent are left out.
+    Two passes; the first reads only the group column. Every group has its share; a row a group is broadcast.
     """
-    counts = rows.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(64).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(group) == r[group], F.lit(min(1.0, each / r["count"]))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
+    counts = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.least(F.lit(1.0), F.lit(float(each)) / F.count("*")).alias("_share"))
+    return rows.join(F.broadcast(counts), group).where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).select(*rows.columns)

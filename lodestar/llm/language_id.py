@@ -1,12 +1,13 @@
 """Language identification with language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter: every slot holds a mask with a bit for each language. An n-gram sets its
+A bit-sliced Bloom filter: every slot holds a mask with a bit for each language, in as many 64-bit words
+as they need. An n-gram sets its
 languages' bits in HASHES slots; the AND of its slots returns all languages that contain it at once.
 For a text, the hits of each language are counted over all its character 3- and 4-grams, corrected
 for the language's share of false positives, and the most hits decide (ties: the first by name).
 
-Fitting takes a bounded sample: about TRAIN_DOCS whole documents of each language, picked by a hash,
-of at most 64 languages, and keeps at most GRAMS n-grams of a language. An n-gram belongs to a
+Fitting takes a bounded sample of every language: about TRAIN_DOCS whole documents, picked by a hash,
+and keeps at most GRAMS n-grams of a language. An n-gram belongs to a
 language if it occurs at least twice in its sample and at least a tenth as often as in the language
 where it is most frequent. Prediction reads whole texts and nothing but texts.
 
@@ -73,19 +74,23 @@ class Filter:
 
     def __init__(self, known: dict[str, np.ndarray]):
         self.names = sorted(known)
-        self.masks = np.zeros(SLOTS, np.uint64)
+        self.masks = np.zeros((-(-len(self.names) // 64), SLOTS), np.uint64)
         for bit, name in enumerate(self.names):
             for j in range(HASHES):
                 at = np.unique(slots(known[name], j))
-                self.masks[at] |= np.uint64(1 << bit)
-        fill = np.array([np.count_nonzero(self.masks & np.uint64(1 << b)) / SLOTS for b in range(len(self.names))])
+                self.masks[bit // 64, at] |= np.uint64(1 << bit % 64)
+        fill = self.counts(self.masks) / SLOTS
         self.wrong = np.minimum(fill**HASHES, 0.999)
 
+    def counts(self, masks: np.ndarray) -> np.ndarray:
+        """How often each language's bit is set."""
+        return np.array([np.count_nonzero(masks[b // 64] & np.uint64(1 << b % 64)) for b in range(len(self.names))], float)
+
     def languages(self, hashes: np.ndarray) -> np.ndarray:
-        """The mask of all languages that hold each n-gram."""
-        masks = self.masks[slots(hashes, 0)]
+        """The mask [word, n-gram] of all languages that hold each n-gram."""
+        masks = self.masks[:, slots(hashes, 0)]
         for j in range(1, HASHES):
-            masks &= self.masks[slots(hashes, j)]
+            masks &= self.masks[:, slots(hashes, j)]
         return masks
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -96,7 +101,7 @@ class Filter:
         for part in steps(points):
             masks = self.languages(part)
             n += len(part)
-            hits += [np.count_nonzero(masks & np.uint64(1 << b)) for b in range(len(self.names))]
+            hits += self.counts(masks)
         right = np.maximum(hits - n * self.wrong, 0) / (1 - self.wrong)
         best = int(np.argmax(right))
         return self.names[best], float(min(1.0, right[best] / n))
@@ -118,16 +123,14 @@ def train(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> Filter:
     some = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     picked = sampled(some, "lang", TRAIN_DOCS, "id").select("lang", "text")
     counts = cut(picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1"), "grams")
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    names = [r.lang for r in totals.select("lang").collect()]
+    if not names:
         return Filter({})
-    rate = F.lit(0.0)
-    for lang, n in totals.items():
-        rate = F.when(F.col("lang") == lang, F.col("n") / n).otherwise(rate)
-    most = counts.withColumn("rate", rate).groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "rate", "n")).alias("each"))
+    most = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total")).groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "rate", "n")).alias("each"))
     kept = cut(most.select("gram", "most", F.explode("each").alias("x")).where("x.rate >= 0.1 * most").select("gram", "x.lang", "x.n"), "kept")
     known = {}
-    for lang in totals:
+    for lang in names:
         table = kept.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(GRAMS).select("gram").toArrow()
         known[lang] = np.asarray(table.column("gram").combine_chunks()).astype(np.int64).view(np.uint64)
     return Filter(known)

@@ -1,12 +1,13 @@
 """Tests of what the review found missing."""
 
 import collections
+import random
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestar.llm import licences, topk
+from lodestar.llm import language_id, licences, quality, topk
 
 
 def test_topk_with_repeated_ids(spark):
@@ -55,3 +56,15 @@ def test_licences_across_lines_and_in_full(spark):
     data = [(i, path, text) for i, (path, (text, _)) in enumerate(cases.items())]
     got = {r.path: r.licence for r in licences.scan(spark.createDataFrame(data, "doc_id long, path string, text string")).collect()}
     assert got == {path: want for path, (_, want) in cases.items()}
+
+
+def test_more_than_64_languages(spark):
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 70 * 12)]
+    data = []
+    for k in range(70):
+        own = ["".join(rng.choices(letters[12 * k : 12 * k + 12], k=4)) for _ in range(60)]
+        data += [(100 * k + i, " ".join(rng.choices(own, k=150)), f"l{k:02}") for i in range(8)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string").coalesce(2)
+    assert {r.doc_id: r.lang_pred for r in language_id.language_id(table).collect()} == {i: lang for i, _, lang in data}
+    assert all(r.kept for r in quality.judge(table, quality.fit(table)).collect())
