@@ -8,6 +8,7 @@ import zipfile
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,22 +65,35 @@ def test_suffix_array(x):
     assert common_prefixes(x, order) == [0] * (len(x) > 0) + [shared(a, b) for a, b in zip(order, order[1:], strict=False)]
 
 
-def test_bit_sliced_search_is_exact():
+def test_bit_sliced_search_is_exact(monkeypatch):
     rng = np.random.default_rng(2)
-    for n, d, size in ((300, 8, 600), (70, 3, 20), (5, 4, 900), (130, 1, 3)):
+    for n, d, size, words in ((300, 8, 600, 512), (70, 3, 20, 1), (5, 4, 900, 3), (130, 1, 3, 8), (200, 5, 1 << 29, 64)):
+        monkeypatch.setattr(topk, "WORDS", words)
         exact = rng.integers(-size, size, (n, d))
+        exact[n // 2] = exact[n // 3]
         ids = rng.permutation(n).astype(np.int64)
-        coarse = exact >> topk.DROP
-        low = int(coarse.min())
-        slices = topk.sliced(coarse, low)
-        qids, queries = ids[:6], exact[:6]
+        block = topk.Block(ids, exact.min(0), topk.sliced(exact, exact.min(0)))
+        qids, queries = ids[:6], np.pad(exact[:6], ((0, 0), (0, 2)))
+        queries[-1] = 0
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in qids]
-        topk.search_block(ids, exact, slices, low, topk.DROP, qids, queries, 10, best)
+        topk.search_block(block, qids, queries, 10, best)
         for qid, q, (s, r) in zip(qids, queries, best, strict=True):
-            want = sorted((-int(exact[k] @ q), int(ids[k])) for k in range(n) if ids[k] != qid)[:10]
+            want = sorted((-int(sum(int(a) * int(b) for a, b in zip(exact[k], q, strict=False))), int(ids[k])) for k in range(n) if ids[k] != qid)[:10]
             assert [(-int(a), int(b)) for a, b in zip(s, r, strict=True)] == want
 
 
+def test_few_rows_are_resolved(monkeypatch):
+    """The slices decide: besides the answers only rows that tie with the last one are looked at."""
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    good, values = topk.quantised(table.column("embedding").combine_chunks(), 1024.0)
+    ids = np.asarray(table.column("vec_id"))[good].astype(np.int64)
+    looked, asked, resolve = [], ids % 100 == 0, topk.resolve
+    monkeypatch.setattr(topk, "resolve", lambda s, places, o: looked.append(len(places)) or resolve(s, places, o))
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids[asked]]
+    topk.search_block(topk.Block(ids, values.min(0), topk.sliced(values, values.min(0))), ids[asked], values[asked], 10, best)
+    assert len(looked) == asked.sum() and sum(looked) < 0.02 * len(ids) * len(looked)
+
+
 def test_bins_are_full_and_nothing_is_lost():
     rng = random.Random(4)
     for capacity, top, n in ((20, 20, 200), (2048, 2048, 3000), (10, 3, 50), (7, 7, 1)):
