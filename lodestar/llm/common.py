@@ -15,11 +15,17 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: i
 
     Keys with more than total / share rows are fewer than share by counting, so they are broadcast;
     all others are joined by a shuffle in which no key holds more than 1 / share of the rows.
-    how: inner or left. left is read twice: give it a table that is cheap to read.
+    how: inner or left. For left, the keys of left are counted, as right need not have them; rows with a null key
+    take no part in any join. left is read twice or more: give it a table that is cheap to read.
     """
+    if how == "left":
+        some, none = left.where(F.col(key).isNotNull()), left.where(F.col(key).isNull())
+        often = cut(some.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") * share > F.lit(total)).select(key), "often")
+        met = some.join(F.broadcast(often.join(right, key, "left")), key)
+        return met.unionByName(some.join(F.broadcast(often), key, "left_anti").join(right, key, "left")).unionByName(none, allowMissingColumns=True)
     hot = F.broadcast(right.where(F.col(weight) * share > F.lit(total)))
     cold = right.where(F.col(weight) * share <= F.lit(total))
-    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key, how))
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

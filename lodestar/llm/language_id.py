@@ -142,7 +142,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, model: Filter, columns: list[str], text_col: str = "text") -> DataFrame:
-    """columns of docs, lang_pred and score of every whole text."""
+    """columns of docs, lang_pred and score of every whole text.
+
+    Columns to keep that are named like a new one are refused; a struct of them keeps any names.
+    """
+    if {c.lower() for c in columns} & {"lang_pred", "score"}:
+        raise ValueError("columns may not be named lang_pred or score")
     schema = docs.select(*columns).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE, _M1, _M2 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: A random odd number for each byte, from a fixed seed.
-_OF_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: list[np.ndarray] = []
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Two independent hashes: a base each, and a random odd number for each byte, from a fixed seed.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_OF_BYTE = np.random.default_rng(20).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -16,25 +17,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE to the powers 0 to n and their inverses, modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) <= n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The base to the powers 0 to n and their inverses, modulo 2^64."""
+    if which not in _POWERS or len(_POWERS[which][0]) <= n:
         size = max(1 << 16, 1 << (n + 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse)]
-    return _POWERS[0], _POWERS[1]
+        inverse = pow(_BASES[which], -1, 1 << 64)
+        _POWERS[which] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASES[which], inverse))
+    return _POWERS[which]
 
 
-def prefix_hashes(raw: np.ndarray) -> np.ndarray:
+def prefix_hashes(raw: np.ndarray, which: int = 0) -> np.ndarray:
     """h with h[j] - h[i], times the inverse power i, hashing raw[i:j]."""
-    up, _ = powers(len(raw))
+    up, _ = powers(len(raw), which)
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_OF_BYTE[raw] * up[: len(raw)], out=out[1:], dtype=np.uint64)
+    np.cumsum(_OF_BYTE[which][raw] * up[: len(raw)], out=out[1:], dtype=np.uint64)
     return out
 
 
-def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
+def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    _, down = powers(len(prefix), which)
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 

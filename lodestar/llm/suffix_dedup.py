@@ -10,12 +10,12 @@ can only be repeated if its anchor's k-gram is.
 3. Contexts meet by anchor. In a batch of anchors, contexts become sequences of content-defined phrases;
    the suffix array of all of them (linear grouping by Lyndon prefixes) and its common prefixes show
    which contexts share enough phrases to hold a repeated string. Only those go on: their strings are
-   hashed (64 bits), and strings with a hash that occurs twice are repeated.
+   hashed (twice 64 bits), and strings with hashes that occur twice are repeated.
 4. Repeated strings give byte ranges; ranges of a document are merged and removed.
 
-An anchor with more than BLOCK different contexts is split into blocks, and each two blocks meet in a
-task of their own. The anchors to split are broadcast; there are fewer than ANCHORS of them, as an anchor
-needs more than the ANCHORS-th part of all contexts.
+An anchor with more than BLOCK different contexts, whatever the size of the input, is split into blocks, and
+each two blocks meet in a group of their own. The anchors to split are broadcast if there are at most ANCHORS of
+them; else they are joined, common ones apart.
 
 Null texts count as empty. Rows sharing an id are different texts; equal rows are copies of each other.
 Empty tables give an empty result; extra columns are ignored.
@@ -127,8 +127,10 @@ def repeated_in(contexts: list[bytes], counts: list[int], groups: list[int]) ->
     inside = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
     start = base[owner] + inside
     group = mix(np.asarray(groups, np.uint64)[near])[owner]  # a context may be in several groups
-    keys = range_hashes(prefix_hashes(flat), start, start + LENGTH) ^ group
-    _, code, times = np.unique(keys, return_inverse=True, return_counts=True)
+    keys, more = (range_hashes(prefix_hashes(flat, h), start, start + LENGTH, h) ^ group for h in (0, 1))
+    _, first, code, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    if (more[first[code]] != more).any():  # one hash for different strings
+        _, code, times = np.unique(np.stack([keys, more], axis=1), axis=0, return_inverse=True, return_counts=True)
     twice = times[code] > 1
     cuts = np.cumsum(n)[:-1]
     for k, mask in zip(near, np.split(twice, cuts), strict=True):
@@ -166,7 +168,7 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, kinds = ["digest", "start", "gram", "context", "same"], [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    names, kinds = ["digest", "start", "gram", "context", "same"], [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     for batch in batches:
         for text, digest, grams in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
             raw = _bytes(text.as_py())
@@ -175,7 +177,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = hashes.view(np.int64)
             keep = np.isin(hashes, grams.values.to_numpy())
             parts = [data[a : b + LENGTH - 1] for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
-            same = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in parts]
+            same = [hashlib.blake2b(p, digest_size=16).digest() for p in parts]
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([digest] * len(parts), first[keep], hashes[keep], parts, same), kinds, strict=True)], names=names)
 
@@ -186,7 +188,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(rows: list) -> pa.RecordBatch:
         spans = [ranges(s) for s in repeated_in([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])]
         some = [k for k, s in enumerate(spans) if len(s)]
-        return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in some], pa.int64()), pa.array([spans[k] for k in some], pa.list_(pa.int64()))], names=["same", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in some], pa.binary()), pa.array([spans[k] for k in some], pa.list_(pa.int64()))], names=["same", "spans"])
 
     rows, last, group = [], None, 0
     for batch in batches:
@@ -221,17 +223,19 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     n_grams = often.agg(F.sum("n")).first()[0] or 0
     hits = skew_join(every, often, "gram", "n", n_grams).groupBy("doc_id", "digest").agg(F.collect_set("gram").alias("grams"))
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    pick = F.coalesce("id", F.lit(-1)).eqNullSafe(F.coalesce("doc_id", F.lit(-1)))
-    candidates = whole.join(hits.hint("shuffle_hash"), pick).where(text_digest("text") == F.col("digest"))  # ids may repeat
-    candidates = cut(candidates.select("text", "digest", "grams"), "candidates")
-    found = cut(candidates.mapInArrow(_contexts, "digest binary, start long, gram long, context binary, same long"), "contexts")
+    pick = (text_digest("text") == F.col("digest")) & F.col("id").eqNullSafe(F.col("doc_id"))  # ids may repeat or be null
+    candidates = cut(whole.join(hits, pick).select("text", "digest", "grams"), "candidates")
+    found = cut(candidates.mapInArrow(_contexts, "digest binary, start long, gram long, context binary, same binary"), "contexts")
     distinct = cut(found.groupBy("gram", "same").agg(F.first("context").alias("context"), F.count("*").alias("n")), "distinct")
-    total = distinct.count()
-    split = distinct.groupBy("gram").agg(F.count("*").alias("size")).where(F.col("size") > max(BLOCK, total // ANCHORS)).select("gram", F.ceil(F.col("size") / (BLOCK // 2)).cast("int").alias("blocks"))
+    sizes = cut(distinct.groupBy("gram").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / (BLOCK // 2)).cast("int")), "sizes")
+    if sizes.count() <= ANCHORS:
+        met = distinct.join(F.broadcast(sizes.select("gram", "blocks")), "gram", "left")
+    else:
+        met = skew_join(distinct, sizes, "gram", "size", distinct.count(), "left")
     own = F.pmod(F.xxhash64("same", F.lit("block")), F.col("blocks")).cast("int")
-    met = distinct.join(F.broadcast(split), "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("same", "context", "n", "gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    ranged = met.mapInArrow(_meet, "same long, spans array<long>").groupBy("same").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    ranged = met.mapInArrow(_meet, "same binary, spans array<long>").groupBy("same").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     weights = found.groupBy("same").agg(F.count("*").alias("weight"))
     ranged = cut(ranged.join(weights, "same"), "ranged")
     n_found = found.count()
@@ -281,9 +285,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated bytes cut out of its texts; a character that loses a byte goes entirely. Null texts stay null."""
+    """docs with the repeated bytes cut out of its texts; a character that loses a byte goes entirely. Null texts stay null; columns may have any names."""
     _, done, rows = results(docs, id_col, text_col)
-    table = docs.withColumn("_digest", text_digest(text_col))
-    lost = done.select(F.col("digest").alias("_digest"), F.col("kept").alias("_kept"), F.col("weight").alias("_weight"))
-    out = skew_join(table, lost, "_digest", "_weight", max(1, rows), "left")
-    return out.withColumn(text_col, F.when(F.col("_kept").isNotNull() & F.col(text_col).isNotNull(), F.col("_kept")).otherwise(F.col(text_col))).select(*docs.columns)
+    table = docs.select(F.struct("*").alias("row"), text_digest(text_col).alias("digest"))
+    out = skew_join(table, done.select("digest", "kept", "weight"), "digest", "weight", max(1, rows), "left")
+    text = F.col("row").getField(text_col)
+    return out.select(F.col("row").withField(f"`{text_col}`", F.when(F.col("kept").isNotNull() & text.isNotNull(), F.col("kept")).otherwise(text)).alias("row")).select("row.*")

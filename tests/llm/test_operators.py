@@ -75,6 +75,22 @@ def test_skew_join(spark):
         assert sorted(map(str, got.select("k", "x", "n", "m").collect())) == sorted(map(str, left.join(right, "k", how).select("k", "x", "n", "m").collect()))
 
 
+def test_skew_join_spreads_absent_and_null_keys(spark):
+    left = spark.range(20000).select(F.when(F.col("id") % 10 < 6, -1).when(F.col("id") % 10 < 9, F.lit(None)).otherwise(F.col("id")).alias("k"), "id").repartition(8)
+    right = left.where("k > 0").select("k", F.lit(1).alias("n"), F.col("id").alias("m"))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = skew_join(left, right, "k", "n", 20000, "left")
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20000 and max(sizes) < 20000 / 8 + 100
+        assert got.where("k > 0 and m = id").count() == 2000 and got.where("m is null").count() == 18000
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(230, 6))
@@ -183,8 +199,11 @@ def test_jaccard_join(spark, docs, nothing, rows):
     assert jaccard.jaccard_join(nothing).count() == 0
 
 
-def test_jaccard_join_splits_large_components(spark, monkeypatch):
+@pytest.mark.parametrize("blob_bytes", [1 << 22, 1000])
+def test_jaccard_join_splits_large_components(spark, monkeypatch, blob_bytes):
     monkeypatch.setattr(jaccard, "BLOB", 4)
+    monkeypatch.setattr(jaccard, "BLOB_BYTES", blob_bytes)
+    monkeypatch.setattr(jaccard, "CHUNK", 3)
     rng = random.Random(2)
     base = words(60, 9).split()
     data = []
@@ -197,6 +216,52 @@ def test_jaccard_join_splits_large_components(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(brute_join(data))
 
 
+def test_jaccard_join_of_very_long_texts_and_shared_ids(spark):
+    long = words(1_000_000, 12)
+    other = long.rsplit(" ", 1000)[0] + " " + words(1000, 13)
+    data = [(1, long), (2, other), (3, long.replace(" ", "\n", 5)), (4, words(300, 14)), (4, words(300, 15)), (4, words(300, 14)), (None, words(300, 15)), (5, words(300, 14) + " end")]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    assert sorted(map(str, map(tuple, jaccard.jaccard_join(table).collect()))) == sorted(map(str, brute_join(data)))
+    kept = jaccard.without_near_duplicates(table.withColumn("node", F.lit("x")))
+    assert sorted((str(r.doc_id), hashlib.md5(" ".join(r.text.split()).encode()).hexdigest()) for r in kept.collect()) == sorted((str(i), hashlib.md5(t.encode()).hexdigest()) for i, t in [data[0], data[3], data[4], data[6]])
+
+
+def test_forest_joins_prefixes_across_ranges(spark):
+    """However the sorted rows are dealt into ranges, rows that share a prefix are joined."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    rng = np.random.default_rng(4)
+    paths = rng.integers(0, 2, (60, jaccard.TREES, jaccard.DEPTH), dtype=np.uint16)
+    nodes = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(paths)], "node long, signature binary")
+    try:
+        for ranges in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            trie = jaccard.forest(nodes, 5)
+            for length in (5, 7, 10):
+                links = [(r.node, r.firsts[length - 5]) for r in trie.where(F.col("lcp") >= length).collect()] + [(a, b) for a, b, n in jaccard.across(trie) if n >= length]
+                root = list(range(60))
+
+                def find(x):
+                    while root[x] != x:
+                        x = root[x]
+                    return x
+
+                for a, b in links:
+                    assert any((paths[a, t, :length] == paths[b, t, :length]).all() for t in range(jaccard.TREES))
+                    root[find(a)] = find(b)
+                want = list(range(60))
+                for t in range(jaccard.TREES):
+                    by = collections.defaultdict(list)
+                    for i in range(60):
+                        by[paths[i, t, :length].tobytes()].append(i)
+                    for group in by.values():
+                        for x in group:
+                            old, new = want[x], want[group[0]]
+                            want = [new if y == old else y for y in want]
+                assert len({find(i) for i in range(60)}) == len(set(want))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
 def brute_dedup(rows):
     texts = [(r[1] or "").encode() for r in rows]
     n = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
@@ -295,6 +360,20 @@ def test_pipeline_stages(spark, docs, nothing, sf):
     check_packing(corpus_pipeline.pack(spark, docs, sf).collect(), [tuple(r) for r in docs.select("doc_id", "text").collect()], path, 2048)
 
 
+def test_pipeline_stages_with_clashing_names(spark, docs, sf):
+    """Columns that are named like the operators' own change nothing and come through."""
+    names = "kept score n_words lang_pred _text _digest _kept _weight _id row raw digest node gram weight signature component blob grams held_out".split()
+    plain = docs.drop(*names)
+    clash = plain.withColumns({n: F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        got, want = stage(spark, clash, sf), stage(spark, plain, sf)
+        if name != "best_fit_packing":
+            assert got.columns == clash.columns, name
+            assert got.where(" or ".join(f"`{n}` <> concat('{n} ', coalesce(cast(doc_id as string), '-'))" for n in names)).count() == 0
+        of = [c for c in want.columns if c not in ("sequence_id", "offset")]
+        assert sorted(map(str, map(tuple, got.select(*of).collect()))) == sorted(map(str, map(tuple, want.collect() if of == want.columns else want.select(*of).collect()))), name
+
+
 def test_pipeline(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     got = corpus_pipeline.run(spark, sf).collect()

@@ -187,7 +187,20 @@ def test_linked_sets():
 
 
 def test_prefix_length():
-    assert jaccard.prefix_length(24, 10, 0.8, 0.9999) == 5 and jaccard.prefix_length(1, 10, 0.8, 0.9999) == 1
+    """The prefix is shortened as far as the similarities seen need it, and never beyond what the threshold needs."""
+    assert jaccard.floor_length(24, 10, 0.8, 0.9999) == 5 and jaccard.floor_length(1, 10, 0.8, 0.9999) == 1
+    length = lambda *near: jaccard.prefix_length(np.array(near), 5, 24, 10, 0.8, 0.9999)
+    assert length() == 5 and length(0.5, 0.6) == 5 and length(0.8) == 5 and length(0.76, 0.99) == 5
+    assert length(1.0, 1.0) == 10 and 5 < length(0.93) < 10 and length(0.93) <= length(0.95) <= length(0.99)
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    for same in (1000, 1800, 2000):
+        other = np.concatenate([base[:same], rng.integers(0, 1 << 63, 2000 - same, dtype=np.uint64)])
+        a, b = jaccard.signatures_of([base, other])
+        assert a.shape == (24, 10) and abs((a == b).mean() - same / (4000 - same)) < 0.12
 
 
 def test_anchor_ranges_cover_every_string_once():
