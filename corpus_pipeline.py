@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, language ID, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage's rows to the
-shared folder and reads them again for the next. All stages but the last return the columns of docs.
+shared folder and reads them again for the next. All stages but the last return the columns of docs, which
+may have more columns than documents, of any names.
 SQL can't express these stages, so ORACLE_SQL is None and tests compare with brute force.
 """
 
@@ -20,23 +21,21 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality.judge(docs.withColumn("_text", F.col("text")), quality.fit(docs), text_col="_text", columns=docs.columns)
-    return judged.where("kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return quality.judge(rows, quality.fit(docs), columns=["row"]).where("kept").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known well enough; lang becomes the predicted one."""
     model = language_id.train(docs.where(~language_id.held_out()), "doc_id", "text", "lang")
-    told = language_id.identify(docs.withColumn("_text", F.col("text")), model, docs.columns, "_text")
+    told = language_id.identify(docs.select(F.struct("*").alias("row"), "text"), model, ["row"])
     kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return kept.select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest id. Of rows that share an id, one stays; rows without an id stay."""
-    first = jaccard.jaccard_join(docs).where("class_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(first, F.col("doc_id") == F.col("_id"), "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each class of near duplicates: the one with the smallest id; of equal ids the text with the smaller MD5. Rows without an id stay."""
+    return jaccard.without_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
