@@ -170,7 +170,8 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     chain = dirs.select("dir", "n", F.posexplode(up).alias("depth", "anc"))
     below = chain.groupBy("anc").agg(F.count("*").alias("below"))
     told = cut(said.join(below, "anc"), "told")
-    nearest = skew_join(chain, told, "anc", "below", max(1, dirs.count())).groupBy("dir").agg(F.max(F.struct("depth", "anc", "best")).alias("near"), F.first("n").alias("n"))
+    met = skew_join(chain, told, "anc", "below", max(1, dirs.count()), "left").where("best is not null")  # common directories may have no licence
+    nearest = met.groupBy("dir").agg(F.max(F.struct("depth", "anc", "best")).alias("near"), F.first("n").alias("n"))
     out = skew_join(table, nearest, "dir", "n", table.count(), "left")
     own = F.col("own").isNotNull()
     return out.select(

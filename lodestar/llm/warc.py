@@ -1,13 +1,16 @@
 """WARC records in ZIP packages: a writer, and a reader that takes records by byte ranges.
 
 A package is a ZIP file whose members are stored, not compressed: archive/data.warc.gz, in which each
-record is a gzip member of its own, and indexes/index.jsonl with the offset and length of every
+record is a gzip member of its own, and indexes/index.jsonl with the archive, offset and length of every
 record. The reader needs only seek and read: it parses the end record, the ZIP64 records if there
-are any, and the central directory, locates the stored members, and range-reads each record through
-the index without unpacking the archive.
+are any, and the central directory, locates the stored members, lists the indexes and range-reads each record
+that the chosen ones name, without unpacking an archive. Every second package of a task has ZIP64 fields
+throughout, so that both layouts are read.
 
-Packages are rows of a written table (package id, bytes), which Spark commits, so a lost executor
-costs no record and no reader sees half a file.
+Packages are cells (bytes) of a written table, which Spark commits, so a lost executor costs no record and
+no reader sees half a file: files that tasks write themselves would have neither. The price is that Spark
+reads a whole cell, PACKAGE_BYTES or one record more, before its parts are sought; a package elsewhere, in
+anything that seeks, is read by ranges only.
 
 Of the records with equal payloads of at least 1000 bytes the one with the largest page_id is the
 response and the others revisit it; rows that share that largest id are all responses, as are all if
@@ -32,9 +35,11 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import cut, skew_join
 
-#: Bytes of payload after which a package is closed; a larger record has a package of its own.
+#: Bytes of payload after which a package is closed.
 PACKAGE_BYTES, LEAST_REVISIT = 8 << 20, 1000
 _STORED = 0
+#: When pages were captured, where nobody knows: the epoch.
+UNKNOWN_DATE = "1970-01-01T00:00:00Z"
 
 
 class ZipStore:
@@ -112,12 +117,12 @@ def directory(f: BinaryIO) -> dict[str, tuple[int, int]]:
     return members
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str = UNKNOWN_DATE) -> bytes:
     """A WARC/1.1 response, or a revisit if refers_to is known, as a gzip member."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     target = "".join(c for c in url or "" if c >= " ")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {target}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += [f"Content-Length: {len(block)}", "", ""]
@@ -135,45 +140,46 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http.decode().split("\r\n")[1:]), payload
 
 
-def package(records: list[tuple[object, bytes]], zip64: bool = False) -> bytes:
+def package(records: list[tuple[object, bytes]], zip64: bool = False, name: str = "data.warc.gz") -> bytes:
     out, at, index = io.BytesIO(), 0, []
     for page_id, data in records:
-        index.append(json.dumps({"page_id": page_id, "offset": at, "length": len(data)}))
+        index.append(json.dumps({"page_id": page_id, "filename": name, "offset": at, "length": len(data)}))
         at += len(data)
     zip_file = ZipStore(out, zip64)
-    zip_file.add("archive/data.warc.gz", b"".join(d for _, d in records))
+    zip_file.add(f"archive/{name}", b"".join(d for _, d in records))
     zip_file.add("indexes/index.jsonl", "\n".join(index).encode())
     zip_file.close()
     return out.getvalue()
 
 
-def read_package(f: BinaryIO) -> Iterator[tuple[object, dict[str, str], dict[str, str], bytes]]:
-    """page_id, headers and payload of every record that the package's index names."""
+def read_package(f: BinaryIO, indexes: list[str] | None = None) -> Iterator[tuple[object, dict[str, str], dict[str, str], bytes]]:
+    """page_id, headers and payload of every record that the package's indexes (all of them, or the named members) tell of."""
     members = directory(f)
-    start, size = members["archive/data.warc.gz"]
-    lines = _at(f, *members["indexes/index.jsonl"]).decode()
-    for line in lines.split("\n") if lines else []:
-        entry = json.loads(line)
-        if entry["offset"] + entry["length"] > size:
-            raise ValueError("a record beyond its archive")
-        yield entry["page_id"], *parse(_at(f, start + entry["offset"], entry["length"]))
+    for name in sorted(m for m in members if m.startswith("indexes/")) if indexes is None else indexes:
+        lines = _at(f, *members[name]).decode()
+        for line in lines.split("\n") if lines else []:
+            entry = json.loads(line)
+            start, size = members[f"archive/{entry['filename']}"]
+            if entry["offset"] + entry["length"] > size:
+                raise ValueError("a record beyond its archive")
+            yield entry["page_id"], *parse(_at(f, start + entry["offset"], entry["length"]))
 
 
 def write_packages(pages: DataFrame) -> DataFrame:
     """Packages (bytes) of a WARC record for each row (page_id, url, html, payload_digest, refers_to)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, size = [], 0
+        records, size, wide = [], 0, False
         for batch in batches:
             for page_id, url, html, digest, refers_to in zip(*batch.columns, strict=True):
                 payload = (html.as_py() or "").encode()
                 records.append((page_id.as_py(), record(page_id.as_py(), url.as_py(), payload, digest.as_py(), refers_to.as_py())))
                 size += len(payload)
                 if size >= PACKAGE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([package(records)], pa.binary())], names=["package"])
-                    records, size = [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array([package(records, wide)], pa.binary())], names=["package"])
+                    records, size, wide = [], 0, not wide
         if records:
-            yield pa.RecordBatch.from_arrays([pa.array([package(records)], pa.binary())], names=["package"])
+            yield pa.RecordBatch.from_arrays([pa.array([package(records, wide)], pa.binary())], names=["package"])
 
     return cut(pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(write, "package binary"), "packages")
 

@@ -3,6 +3,7 @@
 import collections
 import gzip
 import io
+import json
 import random
 import zipfile
 
@@ -137,6 +138,19 @@ def test_packages_and_zip64():
     with pytest.raises(ValueError):
         warc.directory(io.BytesIO(b"nothing"))
     assert list(warc.read_package(io.BytesIO(warc.package([])))) == []
+    assert {"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(got[0][1])  # those that WARC/1.1 requires
+
+
+def test_a_package_of_several_archives_and_indexes():
+    out = io.BytesIO()
+    store = warc.ZipStore(out, True)
+    for name in "ab":
+        data = warc.record(name, None, name.encode() * 3, "d", None)
+        store.add(f"archive/{name}.warc.gz", b"junk" + data)
+        store.add(f"indexes/{name}.jsonl", json.dumps({"page_id": name, "filename": f"{name}.warc.gz", "offset": 4, "length": len(data)}).encode())
+    store.close()
+    assert [(g[0], g[3]) for g in warc.read_package(out)] == [("a", b"aaa"), ("b", b"bbb")]
+    assert [g[0] for g in warc.read_package(out, ["indexes/b.jsonl"])] == ["b"]
 
 
 def brute_counts(text):
