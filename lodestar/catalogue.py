@@ -127,6 +127,11 @@ def range_count(spark, d):
     return range_search(spark, d).groupBy("qid").agg(F.count("*").alias("n"))
 
 
+def _hundredth(spark, d, u8=False):
+    """Rows with ids divisible by 100, as queries."""
+    return vectors(spark, d, u8).where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+
+
 _DOTU = "CAST(list_sum(list_transform(range(1, 65), lambda i: q.u[i] * w.u[i])) AS BIGINT)"
 
 
@@ -135,9 +140,9 @@ def max_inner_product(spark, d):
     return knn.max_inner_product(queries(spark, d, 1, True), vectors(spark, d, True), 10, DIM, "long")
 
 
-@query(f"WITH {_V} SELECT q.id AS qid, w.id AS id, -{_DOTU} AS dist FROM vectors q JOIN vectors w ON q.id % 10 = 3")
+@query(f"WITH {_V} SELECT q.id AS qid, w.id AS id, -{_DOTU} AS dist FROM vectors q JOIN vectors w ON q.id % 100 = 0")
 def neg_inner_product(spark, d):
-    met = knn.all_pairs(queries(spark, d, 1, True), vectors(spark, d, True))
+    met = knn.all_pairs(_hundredth(spark, d, True), vectors(spark, d, True))
     return met.select("qid", "id", dist.negative_inner_product(F.col("qv"), F.col("v"), DIM, "long").alias("dist"))
 
 
@@ -153,23 +158,23 @@ def sparse_mips(spark, d):
     return knn.sparse_mips(t.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid"), t.withColumnRenamed("doc_id", "id"), 10)
 
 
-@query(f"WITH {_V} SELECT q.id AS qid, w.id AS id, round(sqrt({_L2}), 6) AS dist FROM vectors q JOIN vectors w ON q.id % 10 = 3")
+@query(f"WITH {_V} SELECT q.id AS qid, w.id AS id, round(sqrt({_L2}), 6) AS dist FROM vectors q JOIN vectors w ON q.id % 100 = 0")
 def l2_distance(spark, d):
-    met = knn.all_pairs(queries(spark, d, 1), vectors(spark, d))
+    met = knn.all_pairs(_hundredth(spark, d), vectors(spark, d))
     return met.select("qid", "id", F.round(dist.l2(F.col("qv"), F.col("v"), DIM), 6).alias("dist"))
 
 
-@query(f"WITH {_V} SELECT q.id AS qid, w.id AS id, {_L2U} AS dist FROM vectors q JOIN vectors w ON q.id % 10 = 3")
+@query(f"WITH {_V} SELECT q.id AS qid, w.id AS id, {_L2U} AS dist FROM vectors q JOIN vectors w ON q.id % 100 = 0")
 def l2_squared_u8(spark, d):
-    met = knn.all_pairs(queries(spark, d, 1, True), vectors(spark, d, True))
+    met = knn.all_pairs(_hundredth(spark, d, True), vectors(spark, d, True))
     return met.select("qid", "id", dist.l2_squared(F.col("qv"), F.col("v"), None, "long").alias("dist"))
 
 
-@query(f"""WITH {_V}, t AS (SELECT q.id AS qid, w.id AS id, i, (q.u[i] - w.u[i]) * (q.u[i] - w.u[i]) AS x FROM vectors q JOIN vectors w ON q.id % 10 = 3, range(1, 65) r(i)),
+@query(f"""WITH {_V}, t AS (SELECT q.id AS qid, w.id AS id, i, (q.u[i] - w.u[i]) * (q.u[i] - w.u[i]) AS x FROM vectors q JOIN vectors w ON q.id % 100 = 0, range(1, 65) r(i)),
 p AS (SELECT qid, id, i, CAST(sum(x) OVER (PARTITION BY qid, id ORDER BY i) AS BIGINT) AS s FROM t)
 SELECT qid, id, coalesce(min(s) FILTER (WHERE s > 20000), max(s)) AS dist FROM p GROUP BY qid, id""")
 def l2_early_stop(spark, d):
-    met = knn.all_pairs(queries(spark, d, 1, True), vectors(spark, d, True))
+    met = knn.all_pairs(_hundredth(spark, d, True), vectors(spark, d, True))
     return met.select("qid", "id", dist.l2_early_stop(F.col("qv"), F.col("v"), F.lit(20000), "long").alias("dist"))
 
 
@@ -449,29 +454,59 @@ def label_extent(spark, d):
 
 @query(f"WITH {_L}, {_SZ} SELECT label, n, CASE WHEN n <= 100 THEN 8 WHEN n <= 400 THEN 10 ELSE 12 END AS degree FROM sz WHERE n > 50")
 def graph_degree_by_group(spark, d):
-    return labels.big_labels(vec_labels(spark, d), 50).select("label", "n", F.when(F.col("n") <= 100, 8).when(F.col("n") <= 400, 10).otherwise(12).alias("degree"))
+    return hybrid_graph.degrees(vec_labels(spark, d), CFG)
 
 
 def _hybrid(spark, d):
     vl, v = vec_labels(spark, d), vectors(spark, d)
     p = ivf.points_of(vl, v, labels.big_labels(vl, CFG.big_cutoff))
-    c, m = ivf.kmeans(p, CFG.cluster_size, DIM, "double", 3)
-    return hybrid_graph.build(p, c, m, vl, v, CFG, DIM)
+    c, m = ivf.kmeans(p, CFG.cluster_size, DIM, "double", CFG.kmeans_iterations)
+    return c, m, hybrid_graph.build(p, c, m, vl, v, CFG, DIM)
 
 
 @query()
 def hybrid_graph_degrees(spark, d):
-    single, shared, _ = _hybrid(spark, d)
+    single, shared, _ = _hybrid(spark, d)[2]
     return single.groupBy("label", "src").count().groupBy("label").agg(F.max("count").alias("max_degree")).unionByName(shared.groupBy("src").count().agg(F.lit(-1).cast("long").alias("label"), F.max("count").alias("max_degree")))
 
 
 @query()
 def hybrid_graph_search(spark, d):
-    single, shared, entries = _hybrid(spark, d)
+    single, shared, entries = _hybrid(spark, d)[2]
     q = queries(spark, d, 1).select("qid", "qv", F.col("qlabels")[0].alias("label"))
     return hybrid_graph.search(q, single, shared, entries, vec_labels(spark, d), vectors(spark, d), CFG)
 
 
+@query(f"WITH {_L}, {_SZ} SELECT label, CAST(0 AS BIGINT) AS self_edges, CAST(0 AS BIGINT) AS outside, true AS within_degree FROM sz WHERE n > 50 UNION ALL SELECT -1, 0, 0, true")
+def hybrid_graph_structure(spark, d):
+    """Of each label's graph, and of the shared one (-1): edges to itself, edges that leave the label (or share too few labels), and whether no list exceeds its degree."""
+    single, shared, _ = _hybrid(spark, d)[2]
+    vl = vec_labels(spark, d)
+    member = vl.select(F.col("id").alias("dst"), "label", F.lit(1).alias("hit"))
+    counts = single.join(member, ["label", "dst"], "left").groupBy("label", "src").agg(F.count("*").alias("n_out"), F.count_if(F.col("src") == F.col("dst")).alias("self"), F.count_if(F.col("hit").isNull()).alias("out"))
+    own = counts.join(hybrid_graph.degrees(vl, CFG).select("label", "degree"), "label").groupBy("label").agg(F.sum("self").alias("self_edges"), F.sum("out").alias("outside"), (F.max(F.col("n_out") - F.col("degree")) <= 0).alias("within_degree"))
+    common = shared.groupBy("src").agg(F.count("*").alias("n_out"), F.count_if(F.col("src") == F.col("dst")).alias("self"), F.count_if(F.col("overlap") < CFG.min_shared).alias("out"))
+    return own.unionByName(common.agg(F.lit(-1).cast("long").alias("label"), F.sum("self").alias("self_edges"), F.sum("out").alias("outside"), (F.max("n_out") <= CFG.shared_degree).alias("within_degree")))
+
+
+@query(f"WITH {_V} SELECT id AS qid, true AS counted FROM vectors WHERE id % 10 = 3")
+def hybrid_graph_counters(spark, d):
+    """Whether a query's counters agree: rows found, put into the queue, measured; rows expanded were put in before."""
+    found = hybrid_graph_search(spark, d).groupBy("qid").agg(F.count("*").alias("n"), F.max("dist_comps").alias("dist_comps"), F.max("hops").alias("hops"), F.max("pushed").alias("pushed"))
+    return found.select("qid", ((F.col("n") <= F.col("pushed")) & (F.col("hops") <= F.col("pushed")) & (F.col("pushed") <= F.col("dist_comps")) & (F.col("hops") > 0)).alias("counted"))
+
+
+@query(_ROUTE + " SELECT case_name, count(*) AS n, true AS recall_reached FROM z GROUP BY case_name")
+def routed_index_recall(spark, d):
+    """Queries routed to cached pairs, clusters and graphs: whether each case's recall at 10 reaches 0.9, or 0.5 where few clusters are probed."""
+    q, vl, v = _mixed(spark, d, False), vec_labels(spark, d), vectors(spark, d)
+    centroids, members, graph = _hybrid(spark, d)
+    found = router.routed_search(q, vl, v, CFG, DIM, "double", router.indexed(vl, v, (centroids, members), graph, CFG, DIM, "double"))
+    per_query = metrics.recall_per_query(found, knn.filtered_knn(q, vl, v, 10, DIM), 10)
+    joined = router.route(q, vl, CFG).select("qid", "case_name").join(per_query, "qid").groupBy("case_name").agg(F.count("*").alias("n"), (F.sum("hits") / F.sum("wanted")).alias("recall"))
+    return joined.select("case_name", "n", (F.col("recall") >= F.when(F.col("case_name").startswith("ivf"), 0.5).otherwise(0.9)).alias("recall_reached"))
+
+
 # sets
 
 
@@ -734,7 +769,8 @@ def seq_is_partitioned(spark, d):
 
 @query(f"WITH {_L} SELECT label, unnest(list(id ORDER BY id)) AS id FROM vl GROUP BY label")
 def seq_flatten(spark, d):
-    return labels.posting_lists(vec_labels(spark, d)).select("label", F.explode("ids").alias("id"))
+    rows = labels.label_rows(vec_labels(spark, d))
+    return rows.select(F.explode("labels").alias("label"), "id")
 
 
 @query("WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\f\\r\\v]+')) AS token FROM documents) SELECT doc_id, count(*) AS n, count(DISTINCT token) AS n_distinct FROM t WHERE token <> '' GROUP BY doc_id")
@@ -808,21 +844,21 @@ def composite_label(spark, d):
 
 
 def _all_rows(spark, d):
-    r = labels.label_rows(vec_labels(spark, d).where("label >= 18"))
+    r = labels.label_rows(vec_labels(spark, d))
     return vectors(spark, d).select("id").join(r, "id", "left").select("id", F.coalesce("labels", F.array().cast("array<long>")).alias("labels"))
 
 
-@query(f"WITH {_L} SELECT vec_id AS id, coalesce(string_agg(CAST(vl.label AS VARCHAR), ',' ORDER BY vl.label), '-1') AS line FROM embeddings LEFT JOIN vl ON id = vec_id AND vl.label >= 18 GROUP BY vec_id")
+@query(f"WITH {_L} SELECT vec_id AS id, coalesce(string_agg(CAST(vl.label AS VARCHAR), ',' ORDER BY vl.label), '-1') AS line FROM embeddings LEFT JOIN vl ON id = vec_id GROUP BY vec_id")
 def label_text_comma(spark, d):
     return _all_rows(spark, d).select("id", prep.label_text(F.col("labels"), 0, "-1").alias("line"))
 
 
-@query(f"WITH {_L} SELECT vec_id AS id, coalesce(string_agg(CAST(vl.label + 1 AS VARCHAR), ',' ORDER BY vl.label), '25') AS line FROM embeddings LEFT JOIN vl ON id = vec_id AND vl.label >= 18 GROUP BY vec_id")
+@query(f"WITH {_L} SELECT vec_id AS id, coalesce(string_agg(CAST(vl.label + 1 AS VARCHAR), ',' ORDER BY vl.label), '25') AS line FROM embeddings LEFT JOIN vl ON id = vec_id GROUP BY vec_id")
 def label_text_shifted(spark, d):
     return _all_rows(spark, d).select("id", prep.label_text(F.col("labels"), 1, "25").alias("line"))
 
 
-@query(f"WITH {_L} SELECT id, label FROM vl WHERE label >= 18")
+@query(f"WITH {_L} SELECT id, label FROM vl")
 def label_text_parse(spark, d):
     return prep.parse_label_text(label_text_comma(spark, d))
 

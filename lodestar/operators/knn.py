@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.distance import inner_product, l2_squared
-from lodestar.operators.labels import matching
+from lodestar.operators.blocks import search_blocks
+from lodestar.operators.labels import label_rows
 
 
 def top_k(scored: DataFrame, k: int, descending: bool = False) -> DataFrame:
@@ -23,7 +23,8 @@ def score(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, distance: Co
 
 def filtered_knn(queries: DataFrame, labels: DataFrame, vectors: DataFrame, k: int, dim: int | None = None, kind: str = "double") -> DataFrame:
     """The k nearest rows that carry all labels of the query; fewer, if there are fewer."""
-    return top_k(score(matching(queries, labels), queries, vectors, l2_squared(F.col("qv"), F.col("v"), dim, kind)), k)
+    rows = vectors.select("id", "v").join(label_rows(labels), "id")
+    return top_k(search_blocks(queries.select("qid", "qv", "qlabels"), rows, k, kind=kind), k)
 
 
 def all_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -35,32 +36,34 @@ def all_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def unfiltered_knn(queries: DataFrame, vectors: DataFrame, k: int, dim: int | None = None, kind: str = "double", exclude_self: bool = False) -> DataFrame:
-    pairs = all_pairs(queries, vectors)
-    if exclude_self:
-        pairs = pairs.where("qid <> id")
-    return top_k(pairs.select("qid", "id", l2_squared(F.col("qv"), F.col("v"), dim, kind).alias("dist")), k)
+    return top_k(search_blocks(queries.select("qid", "qv"), vectors, k, exclude_self=exclude_self, kind=kind), k)
 
 
 def max_inner_product(queries: DataFrame, vectors: DataFrame, k: int, dim: int | None = None, kind: str = "double") -> DataFrame:
-    return top_k(all_pairs(queries, vectors).select("qid", "id", inner_product(F.col("qv"), F.col("v"), dim, kind).alias("dist")), k, descending=True)
+    return top_k(search_blocks(queries.select("qid", "qv"), vectors, k, product=True, kind=kind), k, descending=True)
 
 
 def range_search(queries: DataFrame, vectors: DataFrame, radius_squared: float, dim: int | None = None, kind: str = "double") -> DataFrame:
     """qid, id, dist of all rows nearer than the radius."""
-    found = all_pairs(queries, vectors).select("qid", "id", l2_squared(F.col("qv"), F.col("v"), dim, kind).alias("dist"))
-    return found.where(F.col("dist") < radius_squared)
+    return search_blocks(queries.select("qid", "qv"), vectors, radius=radius_squared, kind=kind)
 
 
 def partitioned_knn(queries: DataFrame, vectors: DataFrame, k: int, dim: int | None = None, kind: str = "double") -> DataFrame:
     """Queries search only the rows of their population (column population on both sides)."""
-    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select("id", "v", "population", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
-    asked = queries.select("qid", "qv", "population", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    met = asked.join(rows, ["population", "block"])
-    return top_k(met.select("qid", "id", l2_squared(F.col("qv"), F.col("v"), dim, kind).alias("dist")), k)
-
-
-def sparse_mips(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """The k largest inner products of sparse vectors (qid, col, val) and (id, col, val); only common columns meet."""
-    hits = queries.select("qid", "col", F.col("val").alias("qval")).join(rows, "col")
+    asked = queries.select("qid", "qv", F.array(F.col("population").cast("long")).alias("qlabels"))
+    return top_k(search_blocks(asked, vectors.select("id", "v", F.array(F.col("population").cast("long")).alias("labels")), k, kind=kind), k)
+
+
+def sparse_mips(queries: DataFrame, rows: DataFrame, k: int, share: int = 1000) -> DataFrame:
+    """The k largest inner products of sparse vectors (qid, col, val) and (id, col, val); only common columns meet.
+
+    Columns that more than 1 / share of the rows have are fewer than share times the average number of columns; both
+    sides of them are dealt by a salt, so that no column needs one task.
+    """
+    n = rows.select("id").distinct().count()
+    salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = rows.groupBy("col").agg(F.count("*").alias("n")).where(F.col("n") * share > F.lit(n)).select("col", F.lit(salts).alias("salts"))
+    asked = queries.select("qid", "col", F.col("val").alias("qval")).join(often, "col", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    dealt = rows.join(often, "col", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    hits = asked.select("qid", "col", "qval", "salt").join(dealt.select("id", "col", "val", "salt"), ["col", "salt"])
     return top_k(hits.groupBy("qid", "id").agg(F.sum(F.col("qval") * F.col("val")).alias("dist")), k, descending=True)

@@ -56,11 +56,13 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return order_index(both, ["x", "side", "i"]).select("i", "x")
 
 
-def order_index(s: DataFrame, by: list[str], parts: int = 32) -> DataFrame:
+def order_index(s: DataFrame, by: list[str], rows: int = 1 << 20) -> DataFrame:
     """Rows renumbered i = 0, 1, ... by the columns: range-partitioned sort, then counts of the parts before.
 
-    The parts are written out, since bounds are sampled anew whenever they are computed. by must order rows totally.
+    There are as many parts as the session shuffles into, or more, so that a part has about rows at most. The parts
+    are written out, since bounds are sampled anew whenever they are computed. by must order rows totally.
     """
+    parts = max(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-s.count() // rows))
     named = [F.col(c).alias(f"_k{j}") for j, c in enumerate(by)]
     keys = [f"_k{j}" for j in range(len(by))]
     ranged = s.select("*", *named).repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())

@@ -1,22 +1,25 @@
 """Hybrid proximity graph: edges per big label, and shared edges between rows with several common labels.
 
 The build is set-based. Candidates of a row are its nearest rows in the nearest clusters of each of its
-big labels; edges survive a greedy occlusion prune in bounded groups; reverse edges are added and
-pruned once more. Search runs a beam in one group for each label and block of queries; labels whose
-graph does not fit a worker belong to clustered search, which the router can be told.
+big labels; lists longer than the degree, which depends on the label's size, go through a greedy
+occlusion prune in the order (distance, overlap, id), where shared edges within the label occlude too;
+reverse edges are added and pruned once more. Search runs a beam in one group for each label and block
+of queries; labels with more rows than a worker should hold are left to clustered search by the router.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.distance import l2_squared
-from lodestar.operators.labels import overlap
+from lodestar.operators.labels import label_sizes, overlap
 from lodestar.plans.ivf import rank_centroids
 from lodestar.schema import SearchConfig
 from lodestar.storage import cut
@@ -53,29 +56,72 @@ def occlusion_prune(dist: np.ndarray, vectors: np.ndarray, degree: int, alpha: f
     return sorted(kept)
 
 
-def prune(edges: DataFrame, vectors: DataFrame, keys: list[str], degree: int, alpha: float, shared: DataFrame | None = None) -> DataFrame:
-    """Edges (keys, src, dst, dist) that survive; shared edges (src, dst) of a source occlude too where their target is a candidate's neighbour in the label."""
-    names = [*keys, "src", "dst", "dist"]
-    joined = edges.join(vectors.select(F.col("id").alias("dst"), "v"), "dst").select(*names, "v")
-    schema = edges.select(*names).schema
-    if shared is not None:
-        blocked = shared.select("src", "dst", F.lit(True).alias("shared"))
-        joined = joined.join(blocked, ["src", "dst"], "left").select(*names, "v", F.coalesce("shared", F.lit(False)).alias("shared"))
-    else:
-        joined = joined.withColumn("shared", F.lit(False))
+def degrees(labels: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """label, n, degree of the big labels: the degree of the first step of cfg.degrees that holds the label's size."""
+    big = label_sizes(labels).where(F.col("n") > cfg.big_cutoff)
+    degree = F.lit(cfg.degrees[-1][1])
+    for upper, d in reversed(cfg.degrees[:-1]):
+        degree = F.when(F.col("n") <= upper, d).otherwise(degree)
+    return big.select("label", "n", degree.alias("degree"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["dist", "dst"]).drop_duplicates("dst")
-        own = group[~group.shared]
-        blockers = np.array(group.v[group.shared].tolist()) if group.shared.any() else None
-        keep = occlusion_prune(own.dist.to_numpy(), np.array(own.v.tolist()).reshape(len(own), -1), degree, alpha, blockers)
-        return own.iloc[keep][names]
 
-    return joined.groupBy(*keys, "src").applyInPandas(run, schema)
+_EDGE = "label long, src long, dst long, dist double, overlap int"
 
 
-def with_reverse(edges: DataFrame, keys: list[str]) -> DataFrame:
-    return edges.unionByName(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")).dropDuplicates([*keys, "src", "dst"])
+def _pruned(alpha: float):
+    """Rows (label, src, dst, dist, overlap, degree, blocks, v), sorted by (label, src, dist, overlap, dst), to the edges that stay."""
+    names = ["label", "src", "dst", "dist", "overlap"]
+
+    def keep(rows: list[tuple]) -> list[tuple]:
+        own = {r[2]: r for r in reversed(rows) if not r[6]}  # of repeated targets the first
+        own = sorted(own.values(), key=lambda r: (r[3], r[4], r[2]))
+        if not own or len(own) <= own[0][5]:
+            return own
+        blockers = np.array([r[7] for r in rows if r[6]])
+        stay = occlusion_prune(np.array([r[3] for r in own]), np.array([r[7] for r in own]), own[0][5], alpha, blockers if len(blockers) else None)
+        return [own[i] for i in stay]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
+            done = pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=names)
+            out.clear()
+            return done
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and row[:2] != rows[0][:2]:
+                    out += keep(rows)
+                    rows = []
+                    if len(out) >= 1 << 14:
+                        yield flush()
+                rows.append(row)
+        out += keep(rows)
+        yield flush()
+
+    return run
+
+
+def prune(edges: DataFrame, vectors: DataFrame, degree: DataFrame, alpha: float, blockers: DataFrame | None = None) -> DataFrame:
+    """Edges (label, src, dst, dist, overlap) that survive, by (dist, overlap, dst); lists that are no longer than the degree (label, degree) stay whole.
+
+    blockers (label, src, dst), if given, occlude as kept edges do. A source's list is bounded by the candidates and
+    reverse edges of one row; sources are dealt by hash and taken one after the other.
+    """
+    at = vectors.select(F.col("id").alias("dst"), F.col("v").cast("array<double>").alias("v"))
+    limits = F.broadcast(degree.select("label", "degree"))  # one row a label
+    rows = edges.select("label", "src", "dst", "dist", F.col("overlap").cast("int").alias("overlap"), F.lit(False).alias("blocks"))
+    if blockers is not None:
+        rows = rows.unionByName(blockers.select("label", "src", "dst", F.lit(0.0).alias("dist"), F.lit(0).alias("overlap"), F.lit(True).alias("blocks")))
+    rows = rows.join(limits, "label").join(at, "dst").select("label", "src", "dst", "dist", "overlap", "degree", "blocks", "v")
+    return rows.repartition("label", "src").sortWithinPartitions("label", "src", "dist", "overlap", "dst").mapInArrow(_pruned(alpha), _EDGE)
+
+
+def with_reverse(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select("label", F.col("dst").alias("src"), F.col("src").alias("dst"), "dist", "overlap")).dropDuplicates(["label", "src", "dst"])
 
 
 def shared_candidates(found: DataFrame, labels: DataFrame, min_shared: int) -> DataFrame:
@@ -85,23 +131,30 @@ def shared_candidates(found: DataFrame, labels: DataFrame, min_shared: int) -> D
 
 
 def build(points: DataFrame, centroids: DataFrame, members: DataFrame, labels: DataFrame, vectors: DataFrame, cfg: SearchConfig, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(single: label, src, dst, dist; shared: src, dst, dist; entries: label, id)."""
+    """(single: label, src, dst, dist; shared: src, dst, dist, overlap; entries: label, id)."""
     found = cut(candidates(points, centroids, members, cfg, dim), "candidates")
-    common = shared_candidates(found, labels, cfg.min_shared).select("src", "dst", "dist")
-    shared = prune(common, vectors, [], cfg.shared_degree, cfg.alpha)
-    shared = cut(prune(with_reverse(shared, []), vectors, [], cfg.shared_degree, cfg.alpha), "shared")
-    single = prune(found, vectors, ["label"], cfg.degree, cfg.alpha, shared)
-    single = cut(prune(with_reverse(single, ["label"]), vectors, ["label"], cfg.degree, cfg.alpha), "single")
+    common = shared_candidates(found, labels, cfg.min_shared).withColumn("label", F.lit(-1).cast("long"))
+    one = labels.sparkSession.createDataFrame([(-1, cfg.shared_degree)], "label long, degree int")
+    shared = prune(common, vectors, one, cfg.alpha)
+    shared = cut(prune(with_reverse(shared), vectors, one, cfg.alpha).drop("label"), "shared")
+    # a shared edge blocks in every big label that both its ends have
+    limits = cut(degrees(labels, cfg), "degrees")
+    big = labels.join(F.broadcast(limits.select("label")), "label")
+    blockers = shared.join(big.select(F.col("id").alias("src"), "label"), "src").join(big.select(F.col("id").alias("dst"), "label"), ["dst", "label"]).select("label", "src", "dst")
+    blockers = cut(blockers, "blockers")
+    single = prune(found.withColumn("overlap", F.lit(0)), vectors, limits, cfg.alpha, blockers)
+    single = cut(prune(with_reverse(single), vectors, limits, cfg.alpha, blockers).drop("overlap"), "single")
     entries = points.groupBy("label").agg(F.min_by("id", F.xxhash64("id")).alias("id"))
     return single, shared, entries
 
 
-def beam(query: np.ndarray, start: list[int], near: dict[int, list[int]], at: dict[int, int], vectors: np.ndarray, k: int, width: int) -> tuple[list[tuple[float, int]], int]:
-    """The k best of a queue of width after expanding all of it, and the number of distances computed."""
-    seen, queue, fresh, n = set(start), [], [], 0
+def beam(query: np.ndarray, start: list[int], near: dict[int, list[int]], at: dict[int, int], vectors: np.ndarray, k: int, width: int) -> tuple[list[tuple[float, int]], tuple[int, int, int]]:
+    """The k best of a queue of width after expanding all of it, and (distances computed, rows expanded, rows put into the queue)."""
+    seen, queue, fresh, n, hops, pushed = set(start), [], [], 0, 0, 0
     for s in start:
         d = float(((vectors[at[s]] - query) ** 2).sum())
         n += 1
+        pushed += 1
         queue.append((d, s))
         heapq.heappush(fresh, (d, s))
     queue.sort()
@@ -110,6 +163,7 @@ def beam(query: np.ndarray, start: list[int], near: dict[int, list[int]], at: di
         d, s = heapq.heappop(fresh)
         if len(queue) >= width and (d, s) > queue[-1]:
             break
+        hops += 1
         new = [x for x in near.get(s, ()) if x not in seen and x in at]
         seen.update(new)
         if not new:
@@ -122,22 +176,29 @@ def beam(query: np.ndarray, start: list[int], near: dict[int, list[int]], at: di
             if len(queue) < width or (e, x) < queue[-1]:
                 queue.append((e, x))
                 heapq.heappush(fresh, (e, x))
+                pushed += 1
         queue.sort()
         queue = queue[:width]
-    return queue[:k], n
+    return queue[:k], (n, hops, pushed)
 
 
 def search(queries: DataFrame, single: DataFrame, shared: DataFrame, entries: DataFrame, labels: DataFrame, vectors: DataFrame, cfg: SearchConfig, blocks: int = 8) -> DataFrame:
-    """qid, rank, id, dist, dist_comps of queries (qid, qv, label) by beam search over single edges and the shared edges within the label."""
+    """qid, rank, id, dist, dist_comps, hops, pushed of queries (qid, qv, label) by beam search over single edges and the shared edges within the label.
+
+    A task holds the graph of one label; labels with more than cfg.graph_rows rows are refused: they belong to clustered search.
+    """
     wanted = queries.select("label").distinct()
     within = labels.join(wanted, "label")
+    large = within.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > cfg.graph_rows).first()
+    if large:
+        raise ValueError(f"label {large.label} has {large.n} rows: search its clusters")
     inside = shared.join(within.select(F.col("id").alias("dst"), "label"), "dst").select("label", "src", "dst")
     edges = single.join(wanted, "label").select("label", "src", "dst").unionByName(inside).distinct()
-    out = edges.groupBy("label", "src").agg(F.collect_list("dst").alias("out"))
+    out = edges.groupBy("label", "src").agg(F.collect_list("dst").alias("out"))  # bounded by the degrees
     first = entries.select("label", F.col("id"), F.lit(True).alias("entry"))
-    graph = within.join(vectors, "id").join(out.withColumnRenamed("src", "id"), ["label", "id"], "left").join(first, ["label", "id"], "left").select("label", "id", "v", "out", F.coalesce("entry", F.lit(False)).alias("entry"))
+    graph = within.join(vectors, "id").join(out.withColumnRenamed("src", "id"), ["label", "id"], "left").join(first, ["label", "id"], "left").select("label", "id", F.col("v").cast("array<double>").alias("v"), "out", F.coalesce("entry", F.lit(False)).alias("entry"))
     graph = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.select("label", "qid", "qv", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
+    asked = queries.select("label", "qid", F.col("qv").cast("array<double>").alias("qv"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
     k, width = cfg.k, cfg.beam
 
     def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
@@ -150,8 +211,8 @@ def search(queries: DataFrame, single: DataFrame, shared: DataFrame, entries: Da
             # several entries, so that islands of the batch build are reached
             start = sorted({*g.id[g.entry].tolist(), *ids[:: max(1, len(ids) // 8)]})
             for qid, qv in zip(q.qid, q.qv, strict=True):
-                best, n = beam(np.array(qv), start, near, at, vectors, k, width)
-                rows += [(qid, r + 1, x, d, n) for r, (d, x) in enumerate(best)]
-        return pd.DataFrame(rows, columns=["qid", "rank", "id", "dist", "dist_comps"])
+                best, counts = beam(np.array(qv), start, near, at, vectors, k, width)
+                rows += [(qid, r + 1, x, d, *counts) for r, (d, x) in enumerate(best)]
+        return pd.DataFrame(rows, columns=["qid", "rank", "id", "dist", "dist_comps", "hops", "pushed"])
 
-    return asked.groupBy("label", "block").cogroup(graph.groupBy("label", "block")).applyInPandas(run, "qid long, rank long, id long, dist double, dist_comps long")
+    return asked.groupBy("label", "block").cogroup(graph.groupBy("label", "block")).applyInPandas(run, "qid long, rank long, id long, dist double, dist_comps long, hops long, pushed long")

@@ -26,8 +26,11 @@ def first_centroids(points: DataFrame, cluster_size: int) -> DataFrame:
 
 
 def assign(points: DataFrame, centroids: DataFrame, dim: int, kind: str) -> DataFrame:
-    """label, id, cid, dist: the nearest centroid of the label, ties to the smaller cid."""
-    near = points.join(centroids, "label").select("label", "id", F.struct(l2_squared(F.col("v"), F.col("cv"), dim, kind).alias("d"), "cid").alias("x"))
+    """label, id, cid, dist: the nearest centroid of the label, ties to the smaller cid. Points are dealt by a salt, to which centroids are copied."""
+    salts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = points.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    copied = centroids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    near = dealt.join(copied, ["label", "salt"]).select("label", "id", F.struct(l2_squared(F.col("v"), F.col("cv"), None, kind).alias("d"), "cid").alias("x"))
     return near.groupBy("label", "id").agg(F.min("x").alias("x")).select("label", "id", F.col("x.cid").alias("cid"), F.col("x.d").alias("dist"))
 
 

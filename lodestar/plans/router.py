@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.distance import l2_squared
-from lodestar.operators.knn import score, top_k
-from lodestar.operators.labels import label_sizes, matching, pair_cache
+from lodestar.operators.knn import filtered_knn, score, top_k
+from lodestar.operators.labels import label_sizes, pair_cache
+from lodestar.plans.hybrid_graph import search
+from lodestar.plans.ivf import probe
 from lodestar.schema import SearchConfig
+from lodestar.storage import cut
 
 CASES = {"smallxsmall": 0, "tinyxlarge": 1, "largexlarge": 2}
 
@@ -46,16 +49,39 @@ def schedule(queries: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def routed_search(queries: DataFrame, labels: DataFrame, vectors: DataFrame, cfg: SearchConfig, dim: int | None = None, kind: str = "double", approximate=None) -> DataFrame:
-    """qid, rank, id, dist, strategy. Exact strategies run here; approximate, if given, maps hybridgraph and ivf to functions of the routed queries, which else are searched exactly."""
-    routes = route(queries, labels, cfg)
-    dist = l2_squared(F.col("qv"), F.col("v"), dim, kind)
-    chosen = queries.join(routes.select("qid", "a", "b", "strategy"), "qid")
+    """qid, rank, id, dist, strategy. Exact strategies run here; approximate, if given (see indexed()), maps hybridgraph and ivf to functions of the routed queries, which else are searched exactly."""
+    routes = cut(route(queries, labels, cfg).select("qid", "a", "b", "size_a", "strategy"), "routes")
+    chosen = queries.join(routes, "qid")
     approximate = approximate or {}
     exact = chosen.where(~F.col("strategy").isin("precomp", *approximate))
-    pairs = matching(exact, labels)
+    out = filtered_knn(exact, labels, vectors, cfg.k, dim, kind)
+    cached = chosen.where("strategy = 'precomp'").select("qid", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     _, postings = pair_cache(labels, cfg.big_cutoff, cfg.precomp_cutoff)
-    cached = chosen.where("strategy = 'precomp'").select("qid", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(postings, ["a", "b"]).select("qid", "id")
-    out = top_k(score(pairs.unionByName(cached), queries, vectors, dist), cfg.k)
+    pairs = cached.join(postings, ["a", "b"]).select("qid", "id")
+    out = out.unionByName(top_k(score(pairs, queries, vectors, l2_squared(F.col("qv"), F.col("v"), None, kind)), cfg.k))
     for name, run in approximate.items():
-        out = out.unionByName(run(chosen.where(F.col("strategy") == name)))
+        found = run(chosen.where(F.col("strategy") == name)).select("qid", "rank", "id", "dist")
+        out = out.unionByName(found.withColumn("dist", F.col("dist").cast(dict(out.dtypes)["dist"])))
     return out.join(routes.select("qid", "strategy"), "qid")
+
+
+def indexed(labels: DataFrame, vectors: DataFrame, lists: tuple[DataFrame, DataFrame], graph: tuple[DataFrame, DataFrame, DataFrame], cfg: SearchConfig, dim: int, kind: str) -> dict:
+    """approximate of routed_search() over an index: lists (centroids, members) and graph (single, shared, entries)."""
+    centroids, members = lists
+
+    def clustered(chosen: DataFrame) -> DataFrame:
+        """The rarer label's nearest clusters; rows there must have the other label too, if there is one."""
+        asked = chosen.select("qid", "qv", F.col("a").alias("label"), F.col("b").alias("other"))
+        both = asked.where("other is not null")
+        passes = both.select("qid", F.col("other").alias("label")).join(labels, "label").select("qid", "id")
+        one = probe(asked.where("other is null"), centroids, members, vectors, cfg.k, cfg.nprobe, dim, kind)[0]
+        return probe(both, centroids, members, vectors, cfg.k, cfg.nprobe, dim, kind, passes)[0].unionByName(one)
+
+    def walked(chosen: DataFrame) -> DataFrame:
+        """Labels that a worker can hold by beam search, larger ones by their clusters."""
+        fits = chosen.where(F.col("size_a") <= cfg.graph_rows).select("qid", "qv", F.col("a").alias("label"))
+        found = search(fits, *graph, labels, vectors, cfg).select("qid", "rank", "id", "dist")
+        rest = clustered(chosen.where(F.col("size_a") > cfg.graph_rows)).select("qid", "rank", "id", F.col("dist").cast("double").alias("dist"))
+        return found.unionByName(rest)
+
+    return {"hybridgraph": walked, "ivf": clustered}

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import distance
@@ -74,7 +75,7 @@ def test_kmeans_edge_cases(spark):
 
 def test_hybrid_graph_structure_and_recall(spark):
     v, tags, vectors, rel = make(spark, n=120, dim=6, seed=3)
-    cfg = SearchConfig(k=5, big_cutoff=10, cluster_size=40, nprobe=3, beam=30, build_candidates=20, degree=8, shared_degree=4)
+    cfg = SearchConfig(k=5, big_cutoff=10, cluster_size=40, nprobe=3, beam=30, build_candidates=20, degrees=((1 << 62, 8),), shared_degree=4)
     points = ivf.points_of(rel, vectors, labels.big_labels(rel, cfg.big_cutoff))
     centroids, members = ivf.kmeans(points, cfg.cluster_size, 6, "double", 5)
     single, shared, entries = hybrid_graph.build(points, centroids, members, rel, vectors, cfg, 6)
@@ -85,4 +86,15 @@ def test_hybrid_graph_structure_and_recall(spark):
     truth = knn.filtered_knn(queries, rel, vectors, 5)
     assert metrics.violations(found, queries, rel).count() == 0
     assert metrics.recall(found, truth, 5).first().recall >= 0.9
+    assert all(r.hops <= r.pushed <= r.dist_comps for r in found.collect())
+    approximate = router.indexed(rel, vectors, (centroids, members), (single, shared, entries), cfg, 6, "double")
+    mixed = queries.unionByName(queries.withColumn("qid", F.col("qid") + 100).withColumn("qlabels", F.array((F.col("qid") % 2).cast("long"), F.lit(2).cast("long"))))
+    routed = router.routed_search(mixed, rel, vectors, cfg, 6, "double", approximate)
+    exact = knn.filtered_knn(mixed, rel, vectors, 5)
+    assert metrics.violations(routed, mixed, rel).count() == 0 and metrics.recall(routed, exact, 5).first().recall >= 0.9
+    few = SearchConfig(**{**vars(cfg), "graph_rows": 5})
+    rerouted = router.indexed(rel, vectors, (centroids, members), (single, shared, entries), few, 6, "double")["hybridgraph"](router.route(queries, rel, few).join(queries, "qid"))
+    assert metrics.recall(rerouted, truth, 5).first().recall >= 0.5
+    with pytest.raises(ValueError):
+        hybrid_graph.search(queries.withColumn("label", F.col("qlabels")[0]), single, shared, entries, rel, vectors, few)
     assert metrics.padded_recall(truth, truth, queries, 5).first()[0] == 1
