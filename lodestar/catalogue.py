@@ -13,6 +13,8 @@ from lodestar.functions import scalar
 from lodestar.operators import graph, knn, labels, metrics, prep, sequence, sets
 from lodestar.plans import hybrid_graph, ivf, router
 from lodestar.schema import SearchConfig
+from lodestar.sources import native
+from lodestar.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -402,8 +404,70 @@ def ivf_near_filter(spark, d):
     return ivf.near_target(_asked(spark, d), c, m, 20, DIM, "long", _passes(spark, d), 2)
 
 
+@query(f"WITH {_V}, {_L}, {_Q} " + _topk(_L2U, "q JOIN vl x ON x.label = q.a JOIN vl y ON y.label = q.b AND y.id = x.id JOIN vectors w ON w.id = x.id AND w.id % 2 = 0"))
+def ivf_predicate_search(spark, d):
+    """Any condition on the rows besides the labels."""
+    c, m = _index(spark, d)
+    passes = ivf.predicate(_passes(spark, d), F.col("id") % 2 == 0)
+    return ivf.probe(_asked(spark, d), c, m, vectors(spark, d, True), 10, 1 << 20, DIM, "long", passes)[0]
+
+
+# native files
+
+
+def _file(spark, name):
+    return f"{shared_dir(spark)}-{name}"
+
+
+@query(f"WITH {_V} SELECT id, CAST(list_sum(u) AS BIGINT) AS total, u[1] AS first FROM vectors")
+def native_dense_round_trip(spark, d):
+    path = _file(spark, "base.u8bin")
+    native.write_vectors(vectors(spark, d, True), path, "u8bin")
+    return native.read(spark, path, "u8bin", rows=100).select("id", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("v")[0].cast("long").alias("first"))
+
+
+@query(f"WITH {_V} SELECT id, u[64] AS last FROM vectors WHERE id >= 100 AND id < 350")
+def native_range_read(spark, d):
+    path = _file(spark, "base.bvecs")
+    native.write_vectors(vectors(spark, d, True), path, "bvecs")
+    return native.read(spark, path, "bvecs", 250, 100, rows=100).select("id", F.col("v")[63].cast("long").alias("last"))
+
+
+@query(f"WITH {_L} SELECT id, label FROM vl")
+def native_sparse_round_trip(spark, d):
+    path = _file(spark, "labels.spmat")
+    native.write_matrix(vec_labels(spark, d).selectExpr("id as row", "label as col"), path, table(spark, d, "embeddings").count(), 24)
+    return native.read(spark, path, "spmat", rows=100).select(F.col("row").alias("id"), F.col("col").alias("label"))
+
+
+@query(f"WITH {_L} SELECT vl.id AS src, vl.label AS dst, vl.id % 3 AS edge_label, vl.id % 7 AS vertex_label FROM vl")
+def native_labelled_graph(spark, d):
+    path, n = _file(spark, "graph"), table(spark, d, "embeddings").count()
+    ids = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 7).alias("label"))
+    native.write_graph(vec_labels(spark, d).select(F.col("id").alias("src"), F.col("label").alias("dst"), (F.col("id") % 3).alias("label")), path, n, ids)
+    vertices, found = native.read_labelled_graph(spark, path)
+    return found.select("src", "dst", F.col("label").alias("edge_label")).join(vertices.select(F.col("id").alias("src"), F.col("label").alias("vertex_label")), "src")
+
+
+@query(f"WITH {_V} " + _topk(_L2U, "vectors q JOIN vectors w ON q.id % 10 = 3"))
+def native_results_round_trip(spark, d):
+    path, n = _file(spark, "found.knn"), table(spark, d, "embeddings").count()
+    found = knn.unfiltered_knn(queries(spark, d, 1, True), vectors(spark, d, True), 10, DIM, "long")
+    native.write_knn(found, path, n, 10)
+    return native.read(spark, path, "knn", rows=100).where("id >= 0").select("qid", "rank", "id", F.col("dist").cast("long").alias("dist"))
+
+
 # evaluation
 
+
+@query("SELECT CAST(1 AS DOUBLE) AS recall")
+def padded_recall_of_truth(spark, d):
+    """Places that both sides leave empty count as found."""
+    q = queries(spark, d, 1, True).withColumn("qlabels", F.array(F.lit(22).cast("long")))
+    found = knn.filtered_knn(q, vec_labels(spark, d), vectors(spark, d, True), 10, DIM, "long")
+    return metrics.padded_recall(found, found, q, 10)
+
+
 _EVAL = _PROBE + f""", g AS (SELECT * FROM ({_topk(_L2U, "q JOIN vl x ON x.label = q.a JOIN vl y ON y.label = q.b AND y.id = x.id JOIN vectors w ON w.id = x.id")})),
 p AS ({_PTOP.format(l2=_L2U, where="ps.place <= 1")}),
 h AS (SELECT g.qid, count(p.id) AS hits, count(*) AS wanted FROM g LEFT JOIN p ON p.qid = g.qid AND p.id = g.id GROUP BY g.qid)"""
@@ -562,6 +626,16 @@ def interval_overlap_length(spark, d):
     return sets.interval_overlap(_intervals(spark), _intervals(spark, 20, 75), 50)
 
 
+@query("SELECT k * 100 AS start, count(*) AS n FROM range(40) t(k) JOIN lineitem ON l_partkey >= k * 100 AND l_partkey < k * 100 + 37 AND l_partkey < 150 GROUP BY k")
+def points_in_intervals_bounded(spark, d):
+    return sets.points_in_intervals(table(spark, d, "lineitem").select(F.col("l_partkey").alias("p")), _intervals(spark), 100, 150)
+
+
+@query("SELECT CAST(sum(greatest(0, least(a.k * 100 + 37, b.k * 100 + 95, 1930) - greatest(a.k * 100, b.k * 100 + 20))) AS BIGINT) AS total FROM range(40) a(k), range(40) b(k)")
+def interval_overlap_bounded(spark, d):
+    return sets.interval_overlap(_intervals(spark), _intervals(spark, 20, 75), 50, 1930)
+
+
 # graphs
 
 
@@ -628,6 +702,11 @@ def fn_log2_up(spark, d):
     return _seq(spark, d).select("i", scalar.log2_up(F.col("x")).alias("log2_up"))
 
 
+@query(f"WITH {_S} SELECT i, CAST(CASE WHEN x > 100 THEN ceil(sqrt(x)) ELSE 100 END AS BIGINT) AS granularity FROM s")
+def fn_granularity(spark, d):
+    return _seq(spark, d).select("i", scalar.granularity(F.col("x")).alias("granularity"))
+
+
 @query(f"WITH {_L} SELECT vec_id AS id, j AS label, EXISTS (SELECT 1 FROM vl WHERE vl.id = vec_id AND vl.label = j) AS member FROM embeddings, range(24) t(j)")
 def fn_bit_test(spark, d):
     rows = labels.label_rows(vec_labels(spark, d))
@@ -659,6 +738,16 @@ def seq_reduce_monoids(spark, d):
     return _seq(spark, d).agg(F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.bit_and("x").alias("b_and"), F.bit_or("x").alias("b_or"), F.bit_xor("x").alias("b_xor"), F.bool_and(F.col("x") >= 0).alias("all_ok"), F.bool_or(F.col("x") > 998).alias("any_ok"))
 
 
+@query(f"WITH {_S} SELECT arg_min(x, i) AS first, arg_max(x, i) AS last, min(x) AS low, max(x) AS high FROM s")
+def seq_user_monoid(spark, d):
+    """A monoid that doesn't commute: first and last value, and the extremes."""
+    kind = "struct<first:bigint,last:bigint,low:bigint,high:bigint>"
+    lift = lambda x: F.struct(*[x.cast("long").alias(n) for n in ("first", "last", "low", "high")]).cast(kind)
+    both = lambda a, b: F.struct(F.coalesce(a["first"], b["first"]).alias("first"), F.coalesce(b["last"], a["last"]).alias("last"), F.least(a["low"], b["low"]).alias("low"), F.greatest(a["high"], b["high"]).alias("high"))
+    zero = F.struct(*[F.lit(None).cast("long").alias(n) for n in ("first", "last", "low", "high")])
+    return sequence.fold(_seq(spark, d), zero, lift, both).select("x.*")
+
+
 @query(f"WITH {_S} SELECT row_number() OVER (ORDER BY i) - 1 AS k, i FROM s WHERE x % 7 = 0")
 def seq_pack_index(spark, d):
     return sequence.pack_index(_seq(spark, d), F.col("x") % 7 == 0)

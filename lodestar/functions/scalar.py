@@ -11,6 +11,11 @@ def log2_up(n: Column) -> Column:
     return F.when(n <= 1, 0).otherwise(F.length(F.bin(n - 1))).cast("long")
 
 
+def granularity(n: Column) -> Column:
+    """Block size for n elements: the square root, rounded up, or 100 for up to 100 of them."""
+    return F.when(n > 100, F.ceil(F.sqrt(n.cast("double")))).otherwise(100).cast("long")
+
+
 def bit_test(words: Column, place: Column) -> Column:
     """Whether bit place is set in an array of 64-bit words."""
     word = F.element_at(words, (F.shiftright(place, 6) + 1).cast("int"))

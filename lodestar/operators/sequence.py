@@ -38,6 +38,21 @@ def scan(s: DataFrame, kind: str = "sum", inclusive: bool = False, block: int =
     return parts.withColumn("own", fold("x").over(own)).join(before, "block").select("i", "x", _combine(kind, F.col("before"), F.col("own")).alias("scan"))
 
 
+def fold(s: DataFrame, zero: Column, lift: Callable[[Column], Column], op: Callable[[Column, Column], Column], block: int = 1 << 12) -> DataFrame:
+    """x: all values combined in order by a user's monoid: lift(value) gives its elements, op(a, b) combines them, zero is neutral.
+
+    op need not commute. Blocks of consecutive positions are folded in one row each, then blocks of blocks.
+    """
+    now = s.select("i", lift(F.col("x")).alias("x"))
+    n = s.agg(F.max("i")).first()[0]
+    while True:
+        lists = now.groupBy(F.expr(f"i div {block}").alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("l"))
+        now = cut(lists.select("i", F.aggregate("l", zero, lambda a, e: op(a, e["x"])).alias("x")), "folded")
+        n = (n or 0) // block
+        if not n:
+            return now.select("x")
+
+
 def neighbour(s: DataFrame, offset: int, name: str, block: int = BLOCK) -> DataFrame:
     """s with the value at i + offset (null beyond the ends): an equi-join on positions, so no global window."""
     other = s.select((F.col("i") - offset).alias("i"), F.col("x").alias(name))

@@ -113,7 +113,36 @@ def test_labels_text_and_synthesis(spark):
 
 
 def test_catalogue_of_datasets():
-    assert CATALOGUE["yfcc-10M"].search == "knn_filtered" and CATALOGUE["bigann-1M"].kind == "u8bin"
+    assert CATALOGUE["yfcc-10M"].search == "knn_filtered" and CATALOGUE["bigann-10M"].kind == "u8bin" and len(CATALOGUE) == 42
+
+
+def test_ranges_of_files(spark, tmp_path):
+    (tmp_path / "b").write_bytes(b"abcdef")
+    assert native.read_bytes(str(tmp_path / "b"), 2, 4) == b"cd" and native.read_bytes(str(tmp_path / "b"), 4, 99, True) == b"ef\0" and native.read_bytes(str(tmp_path / "b"), 9) == b""
+    (tmp_path / "f").write_bytes(np.array([3, 2, 2, 0, 1, 7, 8, 9], "<i4").tobytes())
+    assert sorted(map(tuple, native.read(spark, str(tmp_path / "f"), "fixed", rows=1).collect())) == [(0, 7), (0, 8), (2, 9)]
+    (tmp_path / "l").write_bytes(np.array([2], "<u8").tobytes() + np.array([1, 2, 3, 4], "<f4").tobytes() + np.array([0, 1, 3, 5, 6, 4], "<i4").tobytes())
+    members, centroids = native.read_list_file(spark, str(tmp_path / "l"), 2)
+    assert sorted(map(tuple, members.collect())) == [(4, 1), (5, 0), (6, 1)] and [r.cv for r in centroids.orderBy("cid").collect()] == [[1.0, 2.0], [3.0, 4.0]]
+    native.write_range(spark.createDataFrame([(0, 8, 1.0), (2, 3, 2.0), (2, 1, 4.0)], "qid long, id long, dist double"), str(tmp_path / "r"), 4)
+    assert sorted(map(tuple, native.read(spark, str(tmp_path / "r"), "range", rows=1).collect())) == [(0, 8, 1.0), (2, 1, 4.0), (2, 3, 2.0)]
+    spec = CATALOGUE["random-xs"]
+    native.write_vectors(spark.range(20).selectExpr("id", "array(cast(id as double)) as v"), str(tmp_path / "random-xs_base.fbin"), "fbin")
+    assert [r.id for r in spec.rows(spark, str(tmp_path), 5, 9).orderBy("id").collect()] == [5, 6, 7, 8]
+    assert sum(1 for _ in spec.blocks(spark, str(tmp_path), 500, (4, 1))) == 5
+
+
+def test_labelled_graph(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 2, 5), (0, 1, 4), (2, 0, 5)], "src long, dst long, label long")
+    vertices = spark.createDataFrame([(0, 1), (1, 2), (2, 1)], "id long, label long")
+    native.write_graph(edges, str(tmp_path / "g"), 3, vertices)
+    meta = native.read_meta(str(tmp_path / "g"))
+    assert (meta["vertices"], meta["edges"], meta["max_degree"], meta["vertex_classes"], meta["edge_classes"]) == (3, 3, 2, 2, 2)
+    v, e = native.read_labelled_graph(spark, str(tmp_path / "g"))
+    assert sorted(map(tuple, v.collect())) == [(0, 1), (1, 2), (2, 1)] and sorted(map(tuple, e.collect())) == [(0, 1, 4), (0, 2, 5), (2, 0, 5)]
+    assert tuple(graph.label_classes(e).first()) == (2, 5) and [tuple(r) for r in graph.nth_edge_label(e, 1).collect()] == [(0, 5)]
+    assert [tuple(r) for r in graph.vertex_label(spark.createDataFrame([(1,)], "id long"), v).collect()] == [(1, 2)]
+    assert [tuple(r) for r in graph.frequent_labels(e, 1).collect()] == [(5, 2)]
 
 
 def test_entry_without_llm(tmp_path):
