@@ -41,13 +41,13 @@ def letters_only(text: str) -> np.ndarray:
     return np.where(_LETTERS[0][points], points, np.uint32(32))
 
 
-def grams(points: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the 3- and 4-grams that hold a letter."""
+def grams(points: np.ndarray, starts: int | None = None) -> np.ndarray:
+    """64-bit hashes of the 3- and 4-grams that hold a letter; only of those that begin at the first places, if starts is given."""
     x, out = points.astype(np.uint64), []
     for n in (3, 4):
         if len(x) < n:
             continue
-        m = len(x) - n + 1
+        m = min(len(x) - n + 1, starts or len(x))
         h = np.full(m, n, np.uint64)
         some = np.zeros(m, bool)
         for j in range(n):
@@ -60,8 +60,9 @@ def grams(points: np.ndarray) -> np.ndarray:
 
 
 def steps(points: np.ndarray) -> Iterator[np.ndarray]:
-    for at in range(0, max(1, len(points) - 3), STEP):
-        yield grams(points[at : at + STEP + 3])
+    """The grams of all points; each is in one step."""
+    for at in range(0, max(1, len(points) - 2), STEP):
+        yield grams(points[at : at + STEP + 3], STEP)
 
 
 def slots(hashes: np.ndarray, j: int) -> np.ndarray:

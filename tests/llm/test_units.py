@@ -250,3 +250,12 @@ def test_merged_ranges():
 def test_template_vectors_are_unit():
     _, _, vectors = licences.template_vectors(licences.TEMPLATES)
     assert all(abs(sum(x * x for x in v.values()) - 1) < 1e-9 for _, v in vectors)
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 4, 7, 1000])
+def test_language_steps_count_every_gram_once(monkeypatch, step):
+    monkeypatch.setattr(language_id, "STEP", step)
+    for text in TEXTS:
+        points = language_id.letters_only(text)
+        parts = list(language_id.steps(points))
+        assert sorted(np.concatenate(parts).tolist()) == sorted(language_id.grams(points).tolist())
