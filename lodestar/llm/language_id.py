@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import cut, sampled
 
 TRAIN_DOCS, GRAMS, HASHES, SLOTS = 2000, 20_000, 3, 1 << 18
-#: Code points read at once; longer texts are read in steps.
-STEP = 1 << 20
+#: Code points read at once; longer texts are read in steps, whose arrays fit a core's cache.
+STEP = 1 << 16
+#: N-grams that a task of the fitting holds unsummed; beyond that it passes its counts on.
+HELD = 1 << 20
 _LETTERS: list[np.ndarray] = []
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -112,14 +114,23 @@ def train(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> Filter:
     """The filter learned from the text and language of a bounded sample of rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list] = {}
+        parts: dict[str, list[np.ndarray]] = {}
+        sizes: dict[str, int] = {}
+
+        def counted(lang: str) -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(parts.pop(lang)), return_counts=True)
+            del sizes[lang]
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums.setdefault(lang, []).extend(np.unique(g, return_counts=True) for g in steps(letters_only(text.as_py())))
-        for lang, parts in sums.items():
-            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                for part in steps(letters_only(text.as_py())):
+                    parts.setdefault(lang, []).append(part)
+                    sizes[lang] = sizes.get(lang, 0) + len(part)
+                    if sum(sizes.values()) >= HELD:
+                        yield counted(max(sizes, key=sizes.get))
+        for lang in list(parts):
+            yield counted(lang)
 
     some = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     picked = sampled(some, "lang", TRAIN_DOCS, "id").select("lang", "text")
