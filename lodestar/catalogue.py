@@ -11,7 +11,7 @@ from lodestar.fixtures import DIM, edges, queries, table, vec_labels, vectors
 from lodestar.functions import distance as dist
 from lodestar.functions import scalar
 from lodestar.operators import graph, knn, labels, metrics, prep, sequence, sets
-from lodestar.plans import hybrid_graph, ivf, router
+from lodestar.plans import hybrid_graph, ivf, prepare, router
 from lodestar.schema import SearchConfig
 from lodestar.sources import native
 from lodestar.storage import shared_dir
@@ -297,11 +297,33 @@ def query_schedule_order(spark, d):
 c AS (SELECT qid, case_name, count(*) AS n FROM m GROUP BY ALL)
 SELECT case_name, count(*) AS n, CAST(sum(least(n, 10)) AS BIGINT) AS hits, CAST(1 AS DOUBLE) AS recall, CAST(sum(n) AS BIGINT) AS dist_comps FROM c GROUP BY case_name""")
 def router_case_stats(spark, d):
+    return metrics.case_stats(_log(spark, d))
+
+
+def _log(spark, d):
+    """The log of the routed search of all queries."""
     q, vl, v = _mixed(spark, d), vec_labels(spark, d), vectors(spark, d, True)
     found = router.routed_search(q, vl, v, CFG, DIM, "long")
     truth = knn.filtered_knn(q, vl, v, 10, DIM, "long")
     cost = labels.specificity(q, vl).select("qid", F.col("n").alias("dist_comps"))
-    return metrics.case_stats(metrics.query_log(router.route(q, vl, CFG), metrics.recall_per_query(found, truth, 10), cost))
+    return metrics.query_log(router.route(q, vl, CFG), metrics.recall_per_query(found, truth, 10), cost)
+
+
+@query(_ROUTE + """, m AS (SELECT z.qid, x.id FROM z JOIN vl x ON x.label = z.a WHERE z.b IS NULL OR EXISTS (SELECT 1 FROM vl y WHERE y.label = z.b AND y.id = x.id)),
+c AS (SELECT z.qid, count(m.id) AS n FROM z LEFT JOIN m ON m.qid = z.qid GROUP BY z.qid)
+SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS total_dist_comps, avg(n) AS avg_dist_comps, sum(least(n, 10)) / (10 * count(*)) AS recall FROM c""")
+def search_totals(spark, d):
+    return metrics.totals(_log(spark, d), 10)
+
+
+@query(_ROUTE + """, m AS (SELECT z.qid, x.id FROM z JOIN vl x ON x.label = z.a WHERE z.b IS NULL OR EXISTS (SELECT 1 FROM vl y WHERE y.label = z.b AND y.id = x.id)),
+c AS (SELECT z.qid, count(m.id) AS n FROM z LEFT JOIN m ON m.qid = z.qid GROUP BY z.qid)
+SELECT z.qid AS id, n AS comparisons, CAST(NULL AS DOUBLE) AS time, CAST(NULL AS DOUBLE) AS distance_time, size_a AS filter_count_a, coalesce(size_b, 0) AS filter_count_b, least(n, 10) AS recall, case_name AS "case",
+  CAST(NULL AS BIGINT) AS iter, CAST(NULL AS BIGINT) AS hops, CAST(NULL AS BIGINT) AS push, CAST(NULL AS BIGINT) AS checks, CAST(NULL AS BIGINT) AS pass_filter, CAST(NULL AS BIGINT) AS clusters, CAST(NULL AS DOUBLE) AS filter_time
+FROM z JOIN c ON c.qid = z.qid""")
+def search_log(spark, d):
+    """The log of queries of the exact search, which has no counters of graphs and clusters."""
+    return metrics.log_table(_log(spark, d))
 
 
 # clustered search
@@ -457,6 +479,21 @@ def native_results_round_trip(spark, d):
     return native.read(spark, path, "knn", rows=100).where("id >= 0").select("qid", "rank", "id", F.col("dist").cast("long").alias("dist"))
 
 
+@query(f"WITH {_V} " + _topk(_L2U, "vectors q JOIN vectors w ON q.id % 10 = 3", 5).replace("SELECT qid, rank, id, dist", "SELECT qid // 10 AS qid, rank, id, CAST(0 AS BIGINT) AS dist", 1))
+def native_pairs_round_trip(spark, d):
+    """Ground truth cut to 5 places, as pairs of an id and a distance of 0, read again."""
+    path, q = _file(spark, "found.pairs"), queries(spark, d, 1, True)
+    found = knn.unfiltered_knn(q, vectors(spark, d, True), 10, DIM, "long").where("rank <= 5")
+    native.write_pairs(found.select(F.expr("qid div 10").alias("qid"), "rank", "id", F.lit(0.0).alias("dist")), path, q.count(), 5)
+    return native.read(spark, path, "pairs", rows=7, dim=5).select("qid", "rank", "id", F.col("dist").cast("long").alias("dist"))
+
+
+@query(f"WITH {_V} " + _topk(_L2U, "vectors q JOIN vectors w ON q.id % 10 = 3", 5))
+def truth_truncated(spark, d):
+    """The first 5 of the 10 true neighbours."""
+    return knn.unfiltered_knn(queries(spark, d, 1, True), vectors(spark, d, True), 10, DIM, "long").where("rank <= 5")
+
+
 # evaluation
 
 
@@ -487,6 +524,20 @@ def recall_at_k(spark, d):
     return metrics.recall(_probe(spark, d, 1)[0], _truth(spark, d), 10)
 
 
+_SWEPT = ", ".join(f"({n})" for n in (1, 2, 4))
+
+
+@query(_PROBE + f""", g AS (SELECT * FROM ({_topk(_L2U, "q JOIN vl x ON x.label = q.a JOIN vl y ON y.label = q.b AND y.id = x.id JOIN vectors w ON w.id = x.id")})),
+p AS (SELECT setting, ps.qid, w.id, row_number() OVER (PARTITION BY setting, ps.qid ORDER BY {_L2U}, w.id) AS rank FROM ps JOIN q ON q.id = ps.qid JOIN vectors w ON w.id = ps.id JOIN (VALUES {_SWEPT}) t(setting) ON ps.place <= setting)
+SELECT CAST(t.setting AS BIGINT) AS setting, count(p.id) / count(*) AS recall FROM g CROSS JOIN (VALUES {_SWEPT}) t(setting) LEFT JOIN p ON p.setting = t.setting AND p.qid = g.qid AND p.id = g.id AND p.rank <= 10 GROUP BY t.setting""")
+def probe_sweep(spark, d):
+    """Recall by clusters probed; the index is built once."""
+    c, m = _index(spark, d)
+    run = lambda n: ivf.probe(_asked(spark, d), c, m, vectors(spark, d, True), 10, n, DIM, "long", _passes(spark, d))[0]
+    rows = metrics.sweep(run, _truth(spark, d), [1, 2, 4], 10)
+    return spark.createDataFrame([(r["setting"], r["recall"]) for r in rows], "setting long, recall double")
+
+
 @query("SELECT CAST(0 AS BIGINT) AS violations")
 def filter_violation_check(spark, d):
     found = _probe(spark, d, 2)[0]
@@ -715,6 +766,14 @@ def fn_bit_test(spark, d):
     return each.select("id", "label", scalar.bit_test(F.col("words"), F.col("label")).alias("member"))
 
 
+@query(f"WITH {_S} SELECT count(*) AS n, count(*) AS pairs, count(*) AS lists, true AS in_32_bits, count(*) AS families FROM s")
+def fn_hashes(spark, d):
+    """Hashes of pairs and of lists differ where their elements or the order of these do; 32-bit hashes fit; families differ."""
+    i, x = F.col("i"), F.col("x")
+    rows = _seq(spark, d).select(scalar.hash_combine(i, x).alias("p"), scalar.array_hash(F.array(i, x, i)).alias("l"), scalar.hash32(i).between(0, (1 << 32) - 1).alias("h"), (scalar.hash64(i, 1) != scalar.hash64(i, 2)).alias("f"))
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("p").alias("pairs"), F.countDistinct("l").alias("lists"), F.bool_and("h").alias("in_32_bits"), F.count_if("f").alias("families"))
+
+
 # sequences
 
 
@@ -982,3 +1041,86 @@ def synthetic_distinct_labels(spark, d):
 @query()
 def synthetic_vectors(spark, d):
     return prep.random_vectors(spark, 200, 8, 5).select("id", F.posexplode("v").alias("place", "x"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS id, p_brand, p_size FROM part), b AS (SELECT p_brand, row_number() OVER (ORDER BY min(id), p_brand) - 1 AS cb FROM x GROUP BY p_brand),
+m AS (SELECT p_size, row_number() OVER (ORDER BY min(id), p_size) - 1 AS cm FROM x GROUP BY p_size)
+SELECT 'base' AS side, id, cb * (SELECT count(*) FROM m) + cm AS label, (SELECT count(*) FROM b) * (SELECT count(*) FROM m) AS classes FROM x JOIN b USING (p_brand) JOIN m USING (p_size)
+UNION ALL SELECT 'query', id, cb * (SELECT count(*) FROM m) + cm, (SELECT count(*) FROM b) * (SELECT count(*) FROM m) FROM x JOIN b USING (p_brand) JOIN m USING (p_size) WHERE id % 10 = 0""")
+def prepare_attributes(spark, d):
+    """Attributes of base rows and queries to one composite label each."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array("p_brand", F.col("p_size").cast("string")).alias("attributes"))
+    base, asked, classes = prepare.attribute_labels(rows, rows.where("id % 10 = 0"), 2)
+    both = base.withColumn("side", F.lit("base")).unionByName(asked.withColumn("side", F.lit("query")))
+    return both.join(F.broadcast(classes)).select("side", "id", "label", "classes")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS id, unnest([o_orderstatus, o_orderpriority]) AS category FROM orders), k AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS label FROM (SELECT DISTINCT category FROM c))
+SELECT DISTINCT 'base' AS side, id, label FROM c JOIN k USING (category) UNION ALL SELECT 'query', c_custkey, label FROM customer JOIN k ON category = chr(CAST(70 + 9 * (c_custkey % 2) AS INTEGER))""")
+def prepare_categories(spark, d):
+    """Categories of base rows and queries to labels by a sorted dictionary of base's."""
+    base = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.explode(F.array("o_orderstatus", "o_orderpriority")).alias("category"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("O").alias("category"))
+    rows, query_rows, _ = prepare.category_labels(base, asked)
+    return rows.withColumn("side", F.lit("base")).unionByName(query_rows.withColumn("side", F.lit("query"))).select("side", "id", "label")
+
+
+@query(_ROUTE + """, m AS (SELECT z.qid, x.id FROM z JOIN vl x ON x.label = z.a WHERE z.b IS NULL OR EXISTS (SELECT 1 FROM vl y WHERE y.label = z.b AND y.id = x.id)),
+c AS (SELECT z.qid, z.arity, count(m.id) AS n FROM z LEFT JOIN m ON m.qid = z.qid GROUP BY ALL),
+pl AS (SELECT qid, n, row_number() OVER (ORDER BY n, qid) - 1 AS place, count(*) OVER () AS total FROM c)
+SELECT 'mixed_query' AS subset, qid, n FROM c UNION ALL SELECT CASE arity WHEN 1 THEN 'single_query' ELSE 'double_query' END, qid, n FROM c
+UNION ALL SELECT 'pc' || p || '_query', qid, n FROM pl, (VALUES (1), (25), (50), (75)) t(p) WHERE abs(100 * place / total - p) <= 1""")
+def prepare_subsets(spark, d):
+    """Queries by their number of labels and by percentiles of specificity."""
+    return prepare.query_subsets(_mixed(spark, d), vec_labels(spark, d))
+
+
+@query(f"WITH {_V}, {_L}, {_Q}, n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS qid FROM q), g AS ({_topk(_L2U, 'q JOIN vl ON vl.label = q.a JOIN vectors w ON w.id = vl.id', 5)}) SELECT n.qid, n.id AS old_id, n.a AS label, CAST(list_sum(n.u) AS BIGINT) AS total, g.rank, g.id AS near FROM n JOIN g ON g.qid = n.id")
+def prepare_subset_files(spark, d):
+    """A subset of the queries written as vectors, labels and true neighbours, and read again."""
+    folder, q, vl = _file(spark, "prepared"), queries(spark, d, 1, True), vec_labels(spark, d)
+    subset = prepare.query_subsets(q, vl).where("subset = 'single_query'").select("qid")
+    truth = knn.filtered_knn(q, vl, vectors(spark, d, True), 5, DIM, "long")
+    prepare.write_subset(q, truth, subset, folder, "single_query", 24, 5)
+    old = prepare.dense_queries(q.select("qid"), subset).select("qid", "old_id")
+    read = native.read(spark, f"{folder}/single_query.u8bin", "u8bin", rows=20).select(F.col("id").alias("qid"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    own = native.read(spark, f"{folder}/single_query.metadata.spmat", "spmat", rows=20).select(F.col("row").alias("qid"), F.col("col").alias("label"))
+    near = native.read(spark, f"{folder}/single_query_GT.pairs", "pairs", rows=20, dim=5).where("id >= 0").select("qid", "rank", F.col("id").alias("near"))
+    return old.join(read, "qid").join(own, "qid").join(near, "qid").select("qid", "old_id", "label", "total", "rank", "near")
+
+
+@query("SELECT 'base' AS side, count(*) AS n, true AS as_wanted FROM embeddings UNION ALL SELECT 'single', count(*), true FROM embeddings WHERE vec_id % 10 = 3 UNION ALL SELECT 'double', count(*), true FROM embeddings WHERE vec_id % 10 = 3")
+def synthetic_sets(spark, d):
+    """Synthetic labels of base rows and queries: how many rows, and whether their numbers of labels are right (base: 8 of 20 on average, within 1)."""
+    ids = vectors(spark, d).select("id")
+    base, single, double = prepare.synthetic_sets(ids, ids.where("id % 10 = 3"), 20, 8)
+    counted = lambda rows, at: at.join(rows.distinct().groupBy("id").count(), "id", "left").fillna(0, ["count"])
+    asked = ids.where("id % 10 = 3")
+    out = counted(base, ids).agg(F.lit("base").alias("side"), F.count("*").alias("n"), F.avg("count").between(7, 9).alias("as_wanted"))
+    for name, rows, m in (("single", single, 1), ("double", double, 2)):
+        out = out.unionByName(counted(rows, asked).agg(F.lit(name).alias("side"), F.count("*").alias("n"), F.bool_and(F.col("count") == m).alias("as_wanted")))
+    return out
+
+
+@query("SELECT 'base' AS side, CAST(300 AS BIGINT) AS n, CAST(299 AS BIGINT) AS last, true AS same_dim UNION ALL SELECT 'query', 20, 19, true")
+def synthetic_points(spark, d):
+    """Random points split into base rows and queries, with dense ids each."""
+    sides = zip(("base", "query"), prepare.synthetic_points(spark, 300, 20, 8), strict=True)
+    parts = [rows.agg(F.lit(name).alias("side"), F.countDistinct("id").alias("n"), F.max("id").alias("last"), F.bool_and(F.size("v") == 8).alias("same_dim")) for name, rows in sides]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS known")
+def random_query_sample(spark, d):
+    """Rows picked at random as queries: as many as asked for, all different, all from the base."""
+    rows = vectors(spark, d).select("id")
+    picked = prep.random_queries(rows, 50, 7)
+    return picked.agg(F.count("*").alias("n")).join(picked.distinct().join(rows, "id", "left_semi").agg(F.count("*").alias("known")))
+
+
+@query("SELECT count(*) AS n, true AS between_1_and_4, true AS varied FROM embeddings")
+def synthetic_label_counts(spark, d):
+    """Distinct labels of a random number from 1 to 4 for each row."""
+    ids = vectors(spark, d).select("id")
+    n = prep.distinct_labels(ids, 20, F.pmod(F.xxhash64(F.lit("count"), "id"), F.lit(4)) + 1, 5).distinct().groupBy("id").count()
+    return n.agg(F.count("*").alias("n"), F.bool_and(F.col("count").between(1, 4)).alias("between_1_and_4"), (F.countDistinct("count") == 4).alias("varied"))

@@ -37,3 +37,23 @@ def bit_words(places: Column, n_words: int) -> Column:
 def pair_hash(a: Column, b: Column) -> Column:
     """A 64-bit hash of an ordered pair."""
     return F.xxhash64(a, b)
+
+
+def hash32(x: Column) -> Column:
+    """A 32-bit hash, as a long from 0."""
+    return F.hash(x).cast("long").bitwiseAND(0xFFFFFFFF)
+
+
+def hash64(x: Column, seed: int = 0) -> Column:
+    """A 64-bit hash of the family that seed picks."""
+    return F.xxhash64(F.lit(seed), x)
+
+
+def hash_combine(a: Column, b: Column) -> Column:
+    """One 64-bit hash of two; their order counts."""
+    return F.xxhash64(a, b)
+
+
+def array_hash(xs: Column, seed: int = 0) -> Column:
+    """A 64-bit hash of an array's elements in their order."""
+    return F.aggregate(xs, F.lit(seed).cast("long"), lambda a, x: F.xxhash64(a, x))

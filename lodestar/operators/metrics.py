@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.sources import native
 from lodestar.storage import cut
 
 
@@ -41,9 +42,21 @@ def case_stats(log: DataFrame) -> DataFrame:
     return log.groupBy("case_name").agg(F.count("*").alias("n"), F.sum("hits").alias("hits"), (F.sum("hits") / F.sum("wanted")).alias("recall"), F.sum("dist_comps").alias("dist_comps"))
 
 
+#: Columns of the summary and of the log of queries, in order.
+SUMMARY = ("index", "beam_width", "num_clusters", "runtime", "recall", "qps", "avg_dist_comps")
+LOG = ("id", "comparisons", "time", "distance_time", "filter_count_a", "filter_count_b", "recall", "case", "iter", "hops", "push", "checks", "pass_filter", "clusters", "filter_time")
+
+
+def totals(log: DataFrame, k: int) -> DataFrame:
+    """n, total_dist_comps, avg_dist_comps, recall over k places a query, of a log (qid, hits, dist_comps)."""
+    return log.agg(F.count("*").alias("n"), F.sum("dist_comps").alias("total_dist_comps"), F.avg("dist_comps").alias("avg_dist_comps"), (F.sum("hits") / (k * F.count("*"))).alias("recall"))
+
+
 def write_summary(rows: DataFrame, path: str) -> None:
-    """Appends index, beam_width, num_clusters, runtime, recall, qps, avg_dist_comps as CSV."""
-    rows.select("index", "beam_width", "num_clusters", "runtime", "recall", "qps", "avg_dist_comps").write.mode("append").option("header", True).csv(path)
+    """Appends the columns of SUMMARY to one CSV file, with a header if it is new. Rows are one a setting of a sweep, so they pass the driver."""
+    old = native.read_bytes(path) if native.exists(path) else (",".join(SUMMARY) + "\n").encode()
+    lines = [",".join("" if x is None else str(x) for x in r) + "\n" for r in rows.select(*SUMMARY).toLocalIterator()]
+    native.write_bytes(old + "".join(lines).encode(), path)
 
 
 def query_log(routes: DataFrame, per_query: DataFrame, cost: DataFrame) -> DataFrame:
@@ -53,6 +66,24 @@ def query_log(routes: DataFrame, per_query: DataFrame, cost: DataFrame) -> DataF
     return out.fillna(0, ["hits", "wanted", "dist_comps"])
 
 
+def log_table(log: DataFrame) -> DataFrame:
+    """The columns of LOG from a query_log, with the counters hops, push, checks, pass_filter and clusters where log has them.
+
+    Queries are answered together, so the times of a single one are unknown: those columns are null, as are absent counters.
+    """
+    own = {"id": "qid", "comparisons": "dist_comps", "filter_count_a": "size_a", "filter_count_b": "size_b", "recall": "hits", "case": "case_name", "iter": "hops"}
+    kinds = {"case": "string", "time": "double", "distance_time": "double", "filter_time": "double"}
+    out = [F.col(own.get(c, c)) if own.get(c, c) in log.columns else F.lit(None) for c in LOG]
+    out[LOG.index("filter_count_b")] = F.coalesce(F.col("size_b"), F.lit(0))
+    return log.select(*[x.cast(kinds.get(c, "long")).alias(c) for c, x in zip(LOG, out, strict=True)])
+
+
+def case_lines(stats: DataFrame) -> DataFrame:
+    """case_name, line: the text log of case_stats, a line a case."""
+    line = F.format_string("%s %s recall, %d dist comps, %d total", F.col("case_name"), F.round("recall", 6).cast("string"), F.col("dist_comps"), F.col("n"))
+    return stats.select("case_name", line.alias("line"))
+
+
 def write_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").option("header", True).csv(path)
 

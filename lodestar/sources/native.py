@@ -11,6 +11,7 @@ Layouts (little-endian):
   fvecs, bvecs, ivecs        per row int32 d, d elements
   spmat, spbit               int64 rows, cols, nnz; int64 indptr[rows + 1]; int32 indices; float32 values (not spbit)
   knn                        uint32 n, k; int32 ids, float32 distances
+  pairs                      per place int32 id, float32 distance; dim places a query
   range                      int32 n, total; int32 counts; int32 ids; float32 distances
   graph                      int64 row pointers in .vertex.bin, uint32 targets in .edge.bin, text in .meta.txt;
                              with labels uint8 in .vlabel.bin and int32 in .elabel.bin
@@ -36,6 +37,7 @@ from lodestar.operators.prep import indptr
 BIN = {"fbin": "<f4", "u8bin": "u1", "i8bin": "i1", "ibin": "<i4"}
 VECS = {"fvecs": "<f4", "bvecs": "u1", "ivecs": "<i4"}
 FLAT = {"uint8": "u1", "int32": "<i4"}
+PAIR = np.dtype([("id", "<i4"), ("dist", "<f4")])
 ROWS = 1 << 16
 
 
@@ -55,10 +57,9 @@ def _array(f, start: int, count: int, kind: str) -> np.ndarray:
 
 
 def _create(path: str):
-    if "://" in path:
-        system, name = fs.FileSystem.from_uri(path)
-        return system.open_output_stream(name)
-    return fs.LocalFileSystem().open_output_stream(path)
+    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(name)
 
 
 def read_bytes(path: str, start: int = 0, end: int = 0, null_terminated: bool = False) -> bytes:
@@ -70,6 +71,16 @@ def read_bytes(path: str, start: int = 0, end: int = 0, null_terminated: bool =
         return f.read(max(0, (min(end, size) if end else size) - start)) + b"\0" * null_terminated
 
 
+def exists(path: str) -> bool:
+    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.get_file_info(name).type != fs.FileType.NotFound
+
+
+def write_bytes(data: bytes, path: str) -> None:
+    with _create(path) as f:
+        f.write(data)
+
+
 class _Rows(InputPartition):
     """Rows low to high; before: entries of the rows before low, where only counts tell."""
 
@@ -96,6 +107,8 @@ class _Reader(DataSourceReader):
                     raise ValueError("the row pointers do not end at the number of entries")
             elif self.kind in ("range", "fixed"):
                 n, d = struct.unpack("<ii", f.read(8))
+            elif self.kind == "pairs":
+                n, d = f.size() // (8 * self.dim), self.dim
             elif self.kind == "lists":
                 n, d = struct.unpack("<Q", f.read(8))[0], self.dim
             elif self.kind in FLAT:
@@ -152,6 +165,9 @@ class _Reader(DataSourceReader):
                 found = _array(f, 8 + 4 * low * d, m * d, "<i4")
                 far = _array(f, 8 + 4 * n * d + 4 * low * d, m * d, "<f4")
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, d)), pa.array(np.tile(np.arange(1, d + 1), m)), pa.array(found.astype(np.int64)), pa.array(far)], names=["qid", "rank", "id", "dist"])
+            elif self.kind == "pairs":
+                found = _array(f, 8 * low * d, m * d, PAIR)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, d)), pa.array(np.tile(np.arange(1, d + 1), m)), pa.array(found["id"].astype(np.int64)), pa.array(found["dist"].copy())], names=["qid", "rank", "id", "dist"])
             elif self.kind == "range":
                 start, own = part.before, _array(f, 8 + 4 * low, m, "<i4")
                 found = _array(f, 8 + 4 * n + 4 * start, int(own.sum()), "<i4")
@@ -183,7 +199,7 @@ class _Reader(DataSourceReader):
 
 
 class NativeSource(DataSource):
-    """Format "native" with the options path, kind and, optionally, start, limit, rows (a partition), second and third (a graph's edges and their labels), dim (of lists)."""
+    """Format "native" with the options path, kind and, optionally, start, limit, rows (a partition), second and third (a graph's edges and their labels), dim (of lists, or places a query of pairs)."""
 
     @classmethod
     def name(cls) -> str:
@@ -199,7 +215,7 @@ class NativeSource(DataSource):
             return "id long, x long"
         if kind == "graph" and self.options.get("third"):
             return "src long, dst long, label long"
-        return {"fixed": "src long, dst long", "lists": "cid long, cv array<float>, ids array<long>", "spmat": "row long, col long, val float", "spbit": "row long, col long, val float", "knn": "qid long, rank long, id long, dist float", "range": "qid long, id long, dist float", "graph": "src long, dst long"}[kind]
+        return {"fixed": "src long, dst long", "lists": "cid long, cv array<float>, ids array<long>", "spmat": "row long, col long, val float", "spbit": "row long, col long, val float", "knn": "qid long, rank long, id long, dist float", "pairs": "qid long, rank long, id long, dist float", "range": "qid long, id long, dist float", "graph": "src long, dst long"}[kind]
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
@@ -307,11 +323,16 @@ def write_graph(edges: DataFrame, path: str, vertices: int, labels: DataFrame |
         f.write(("\n".join(map(str, (vertices, edges.count(), "4 8 1 4", most, 0, *classes))) + "\n").encode())
 
 
-def write_knn(results: DataFrame, path: str, queries: int, k: int) -> None:
-    """(qid, rank, id, dist) with rank from 1 as a knn file; missing places have id -1 and distance 0."""
+def _placed(results: DataFrame, queries: int, k: int) -> DataFrame:
+    """k places for each query, in order; missing ones have id -1 and distance 0."""
     places = results.sparkSession.range(queries).select(F.col("id").alias("qid"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("rank"))
     found = results.select("qid", "rank", F.col("id").alias("found"), "dist")
-    ordered = places.join(found, ["qid", "rank"], "left").select("qid", "rank", F.coalesce("found", F.lit(-1)).alias("id"), F.coalesce("dist", F.lit(0.0)).alias("dist")).orderBy("qid", "rank")
+    return places.join(found, ["qid", "rank"], "left").select("qid", "rank", F.coalesce("found", F.lit(-1)).alias("id"), F.coalesce("dist", F.lit(0.0)).alias("dist")).orderBy("qid", "rank")
+
+
+def write_knn(results: DataFrame, path: str, queries: int, k: int) -> None:
+    """(qid, rank, id, dist) with rank from 1 as a knn file; missing places have id -1 and distance 0."""
+    ordered = _placed(results, queries, k)
     with _create(path) as f:
         f.write(struct.pack("<II", queries, k))
         for column, element in (("id", "<i4"), ("dist", "<f4")):
@@ -319,6 +340,20 @@ def write_knn(results: DataFrame, path: str, queries: int, k: int) -> None:
                 f.write(data)
 
 
+def write_pairs(results: DataFrame, path: str, queries: int, k: int) -> None:
+    """(qid, rank, id, dist) as pairs of an id and a distance, k a query, without a header."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = np.empty(batch.num_rows, PAIR)
+            pairs["id"], pairs["dist"] = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary())], names=["data"])
+
+    with _create(path) as f:
+        for row in _placed(results, queries, k).select("id", "dist").mapInArrow(run, "data binary").toLocalIterator():
+            f.write(bytes(row.data))
+
+
 def write_range(results: DataFrame, path: str, queries: int) -> None:
     """(qid, id, dist) as a range file, ids of a query in ascending order."""
     ordered, total = results.orderBy("qid", "id"), results.count()

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders handed out by this process.
+_FOLDERS: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that spark.checkpoint.dir names; driver and executors all see it.
 
@@ -19,7 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{base.rstrip('/')}/lodestar-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that cut() wrote in this process; for the end of a job, as tables read from them are gone then. Returns how many there were."""
+    n = 0
+    while _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def cut(df: DataFrame, name: str = "table") -> DataFrame:

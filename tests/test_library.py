@@ -166,3 +166,39 @@ def test_list_and_id_files(spark, tmp_path):
     native.write_lists(members, centroids, str(tmp_path / "i"))
     got, cen = native.read_lists(spark, str(tmp_path / "i"))
     assert [r.cid for r in got.orderBy("place").collect()] == [0, 1] and [r.cv for r in cen.orderBy("cid").collect()] == [[1.0], [2.0]]
+
+
+def test_summary_is_one_file_with_one_header(spark, tmp_path):
+    from lodestar.operators import metrics
+
+    row = [("i", 10, 5, 1.5, 0.9, 100.0, 20.0)]
+    for _ in range(2):
+        metrics.write_summary(spark.createDataFrame(row, list(metrics.SUMMARY)), str(tmp_path / "new" / "summary.csv"))
+    assert (tmp_path / "new" / "summary.csv").read_text() == ",".join(metrics.SUMMARY) + "\n" + "i,10,5,1.5,0.9,100.0,20.0\n" * 2
+    stats = spark.createDataFrame([("ivf", 2, 19, 0.95, 40)], "case_name string, n long, hits long, recall double, dist_comps long")
+    assert metrics.case_lines(stats).first().line == "ivf 0.95 recall, 40 dist comps, 2 total"
+
+
+def test_prepared_labels(spark, tmp_path):
+    from lodestar.plans import prepare
+
+    base = spark.createDataFrame([(0, ["x", "q"]), (1, ["y", "p"]), (2, ["x", None])], "id long, attributes array<string>")
+    asked = spark.createDataFrame([(0, ["y", "q"]), (1, ["z", "q"])], "id long, attributes array<string>")
+    rows, queries, classes = prepare.attribute_labels(base, asked, 2)
+    assert classes.first().classes == 4 and sorted(map(tuple, rows.collect())) == [(0, 0), (1, 3)] and [tuple(r) for r in queries.collect()] == [(0, 2)]
+    labels = spark.createDataFrame([(0, 3), (0, 1), (2, 0)], "id long, label long")
+    prepare.write_labels(labels, str(tmp_path), 3, 4)
+    lines = {name: [r.line for r in text.numbered_lines(spark, str(tmp_path / f"{name}.txt")).orderBy("id").collect()] for name in ("labels_comma", "labels_shifted")}
+    assert lines == {"labels_comma": ["1,3", "-1", "0"], "labels_shifted": ["2,4", "5", "1"]}
+    assert sorted((r.row, r.col) for r in native.read(spark, str(tmp_path / "base.metadata.spmat"), "spmat").collect()) == [(0, 1), (0, 3), (2, 0)]
+
+
+def test_clear_deletes_what_was_cut(spark, tmp_path):
+    from lodestar import storage
+
+    before = len(storage._FOLDERS)
+    storage.cut(spark.range(3))
+    path = storage._FOLDERS[-1].removeprefix("file://")
+    kept, storage._FOLDERS[:] = storage._FOLDERS[:before], storage._FOLDERS[before:]
+    assert os.path.isdir(path) and storage.clear(spark) == 1 and not os.path.exists(path)
+    storage._FOLDERS[:] = kept

@@ -8,7 +8,6 @@ import pytest
 from lodestar import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {k for k in catalogue.ORACLE_SQL if k.startswith(("ivf_", "kmeans_", "recall_", "filter_"))} - {"ivf_probe_knn", "kmeans_three_iterations", "recall_at_k"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,7 @@ def plain(rows):
     return sorted(repr(tuple(round(x, 9) if isinstance(x, float) else x for x in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_same_as_sql(spark, sf, duck, name):
     got = catalogue.QUERIES[name](spark, sf)
     cursor = duck.execute(catalogue.ORACLE_SQL[name])
