@@ -379,3 +379,12 @@ def test_pipeline(spark, sf):
     got = corpus_pipeline.run(spark, sf).collect()
     ids = {r.doc_id for r in got}
     assert 0.3 * documents.count() < len(ids) < documents.count() and len({(r.doc_id, r.piece) for r in got}) == len(got)
+
+
+def test_language_training_passes_counts_on(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"the rain of day {i % 7} falls", "en") for i in range(40)] + [(i, f"der regen am tag {i % 5}", "de") for i in range(40, 80)] + [(80, None, "de"), (81, "x", None), (82, "", "fr")], "doc_id long, text string, lang string")
+    whole = language_id.train(rows, "doc_id", "text", "lang")
+    monkeypatch.setattr(language_id, "HELD", 60)
+    parts = language_id.train(rows, "doc_id", "text", "lang")
+    assert whole.names == parts.names == ["de", "en"] and (whole.masks == parts.masks).all()
+    assert parts.predict("the rain")[0] == "en"
