@@ -6,8 +6,11 @@ and over one row a block, so that no task sees the whole sequence.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -167,6 +170,18 @@ def tokens(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.select("doc_id", F.explode(F.filter(F.split(text_col, r"\s+"), lambda w: w != "")).alias("token"))
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) to id, cols, vals: the distinct tokens of each text, as tokens() cuts them, and how often they occur."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 256):
+            some = batch.slice(low, 256)
+            counts = [Counter(x.as_py().encode("utf-8").split()) for x in some.column(1)]
+            ends = pa.array([0, *accumulate(map(len, counts))], pa.int32())
+            words = pa.array([w for c in counts for w in c], pa.binary()).cast(pa.string())
+            values = pa.array([n for c in counts for n in c.values()], pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, values)], names=["doc_id", "cols", "vals"])
+
+
 def reduce_by_index(s: DataFrame, n: int) -> DataFrame:
     """k, total, n for every index k < n of rows (k, x); 0 where there are none."""
     got = s.groupBy("k").agg(F.sum("x").alias("t"), F.count("*").alias("c"))

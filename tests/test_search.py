@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import distance
-from lodestar.operators import knn, labels, metrics
+from lodestar.operators import blocks, knn, labels, metrics
 from lodestar.plans import hybrid_graph, ivf, router
 from lodestar.schema import SearchConfig
 
@@ -98,3 +98,27 @@ def test_hybrid_graph_structure_and_recall(spark):
     with pytest.raises(ValueError):
         hybrid_graph.search(queries.withColumn("label", F.col("qlabels")[0]), single, shared, entries, rel, vectors, few)
     assert metrics.padded_recall(truth, truth, queries, 5).first()[0] == 1
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_sparse_products_meet_in_groups(spark, monkeypatch, kind):
+    """Several groups, frequent, rare, absent and repeated columns, negative values and large sums; no join makes pairs."""
+    monkeypatch.setattr(blocks, "GROUP_ENTRIES", 40)
+    rng = np.random.default_rng(7)
+    scale = (1 << 26) if kind == "long" else 0.5
+    rows = [(i, f"c{int(c)}", int(x) * scale) for i in range(60) for c, x in zip(rng.zipf(1.5, 8) % 30, rng.integers(-4, 5, 8), strict=True) if x]
+    asked = [(q, c, x) for q, c, x in rows if q % 10 == 0] + [(999, "nowhere", scale)]
+    lists = lambda x: [(i, [c for j, c, _ in x if j == i], [y for j, _, y in x if j == i]) for i in sorted({i for i, *_ in x})]
+    schema = f"long, cols array<string>, vals array<{kind}>"
+    got = knn.sparse_mips(spark.createDataFrame(lists(asked), f"qid {schema}"), spark.createDataFrame(lists(rows[:99]) + lists(rows[99:]), f"id {schema}"), 4)
+    want = {}
+    for q, c, x in asked:
+        for i, d, y in rows:
+            if c == d:
+                want[q, i] = want.get((q, i), 0) + x * y
+    best = {q: sorted((-d, i) for (p, i), d in want.items() if p == q)[:4] for q in {q for q, _ in want}}
+    found = {}
+    for r in got.orderBy("qid", "rank").collect():
+        found.setdefault(r.qid, []).append((-r.dist, r.id))
+    assert found == best
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
