@@ -13,28 +13,28 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.distance import l2_squared
+from lodestar.operators.blocks import _matrix
 from lodestar.operators.labels import label_sizes, overlap
+from lodestar.plans.cells import column, pieces, search_cells
 from lodestar.plans.ivf import rank_centroids
 from lodestar.schema import SearchConfig
 from lodestar.storage import cut
 
+#: Queries of a label for which its graph is copied once more, up to the given number of blocks.
+QUERIES = 256
 #: A neighbour farther than this times the squared distance at place k of a full enough queue is skipped.
 PRUNE_RATIO = 1.35
 
 
 def candidates(points: DataFrame, centroids: DataFrame, members: DataFrame, cfg: SearchConfig, dim: int) -> DataFrame:
     """label, src, dst, dist: the build_candidates nearest rows in the nprobe nearest clusters of the label."""
-    asked = points.select(F.struct("label", "id").alias("qid"), F.col("v").alias("qv"), "label")
-    cells = rank_centroids(asked, centroids, dim, "double").where(F.col("place") <= cfg.nprobe).select("qid", "label", "cid")
-    rows = members.join(points, ["label", "id"])
-    met = cells.join(asked.select("qid", "qv"), "qid").join(rows, ["label", "cid"]).where("qid.id <> id")
-    scored = met.select("label", F.col("qid.id").alias("src"), F.col("id").alias("dst"), l2_squared(F.col("qv"), F.col("v"), dim).alias("dist"))
+    asked = points.select("label", F.col("id").alias("qid"), F.col("v").alias("qv"))
+    cells = rank_centroids(asked, centroids, dim, "double", cfg.nprobe).select("label", "qid", "cid")
+    scored = search_cells(asked, cells, members, points, cfg.build_candidates, dim, exclude_self=True).select("label", F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
     place = F.row_number().over(Window.partitionBy("label", "src").orderBy("dist", "dst"))
     return scored.withColumn("place", place).where(F.col("place") <= cfg.build_candidates).drop("place")
 
@@ -42,17 +42,22 @@ def candidates(points: DataFrame, centroids: DataFrame, members: DataFrame, cfg:
 def occlusion_prune(dist: np.ndarray, vectors: np.ndarray, degree: int, alpha: float, blockers: np.ndarray | None = None) -> list[int]:
     """Which candidates, in order of distance, are kept: at most degree, none that a kept one (or a blocker) occludes."""
     kept: list[int] = []
+    nearest = np.full(len(dist), np.inf)  # squared distance to the nearest blocker or kept candidate
+    for b in blockers if blockers is not None else ():
+        np.minimum(nearest, ((vectors - b) ** 2).sum(1), out=nearest)
     for a in (1.0, alpha):
-        for i in range(len(dist)):
+        i = 0
+        while i < len(dist):
+            free = a * nearest[i:] > dist[i:]
+            free[[j - i for j in kept if j >= i]] = False
+            if not free.any():
+                break
             if len(kept) >= degree:
                 return sorted(kept)
-            if i in kept:
-                continue
-            others = vectors[kept]
-            if blockers is not None and len(blockers):
-                others = np.concatenate([others, blockers])
-            if not len(others) or (a * ((others - vectors[i]) ** 2).sum(1) > dist[i]).all():
-                kept.append(i)
+            i += int(free.argmax())
+            kept.append(i)
+            np.minimum(nearest, ((vectors - vectors[i]) ** 2).sum(1), out=nearest)
+            i += 1
     return sorted(kept)
 
 
@@ -67,40 +72,44 @@ def degrees(labels: DataFrame, cfg: SearchConfig) -> DataFrame:
 
 _EDGE = "label long, src long, dst long, dist double, overlap int"
 
+#: Most edges of a group in prune(), whose vectors it holds.
+GROUP_EDGES = 1 << 16
+
 
 def _pruned(alpha: float):
-    """Rows (label, src, dst, dist, overlap, degree, blocks, v), sorted by (label, src, dist, overlap, dst), to the edges that stay."""
+    """Groups (label, block) of vectors and then edges, sorted by (src, dist, overlap, dst), to the edges that stay."""
     names = ["label", "src", "dst", "dist", "overlap"]
 
-    def keep(rows: list[tuple]) -> list[tuple]:
-        own = {r[2]: r for r in reversed(rows) if not r[6]}  # of repeated targets the first
-        own = sorted(own.values(), key=lambda r: (r[3], r[4], r[2]))
-        if not own or len(own) <= own[0][5]:
-            return own
-        blockers = np.array([r[7] for r in rows if r[6]])
-        stay = occlusion_prune(np.array([r[3] for r in own]), np.array([r[7] for r in own]), own[0][5], alpha, blockers if len(blockers) else None)
-        return [own[i] for i in stay]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        rows: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
-            done = pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=names)
-            out.clear()
-            return done
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and row[:2] != rows[0][:2]:
-                    out += keep(rows)
-                    rows = []
-                    if len(out) >= 1 << 14:
-                        yield flush()
-                rows.append(row)
-        out += keep(rows)
-        yield flush()
+        held: list[pa.RecordBatch] = []
+        edges: list[pa.RecordBatch] = []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            ids, vectors = np.asarray(column(held, 5)), _matrix(column(held, 8))
+            order = np.argsort(ids, kind="stable")
+            ids, vectors = ids[order], vectors[order]
+            src, dst, dist, overlap, degree = (np.asarray(column(edges, i)) for i in (4, 5, 6, 7, 9))
+            blocks = column(edges, 3).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff(src, prepend=src[0] - 1))
+            stay = []
+            for low, high in zip(starts, np.append(starts[1:], len(src)), strict=True):
+                own = low + np.flatnonzero(~blocks[low:high])
+                own = own[np.sort(np.unique(dst[own], return_index=True)[1])]  # of repeated targets the first
+                if len(own) and len(own) > degree[own[0]]:
+                    block = vectors[np.searchsorted(ids, dst[low:high][blocks[low:high]])]
+                    own = own[occlusion_prune(dist[own], vectors[np.searchsorted(ids, dst[own])], int(degree[own[0]]), alpha, block)]
+                stay.append(own)
+            some = np.concatenate(stay)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), held[0].column(0)[0].as_py())), *(pa.array(x[some]) for x in (src, dst, dist)), pa.array(overlap[some].astype(np.int32))], names=names)
+
+        for new, asks, piece in pieces(batches, 2):
+            if new:
+                if edges:
+                    yield from answer()
+                held, edges = [], []
+            (edges if asks else held).append(piece)
+        if edges:
+            yield from answer()
 
     return run
 
@@ -109,15 +118,21 @@ def prune(edges: DataFrame, vectors: DataFrame, degree: DataFrame, alpha: float,
     """Edges (label, src, dst, dist, overlap) that survive, by (dist, overlap, dst); lists that are no longer than the degree (label, degree) stay whole.
 
     blockers (label, src, dst), if given, occlude as kept edges do. A source's list is bounded by the candidates and
-    reverse edges of one row; sources are dealt by hash and taken one after the other.
+    reverse edges of one row; sources are dealt to groups, to which each vector that a group needs travels once.
     """
-    at = vectors.select(F.col("id").alias("dst"), F.col("v").cast("array<double>").alias("v"))
-    limits = F.broadcast(degree.select("label", "degree"))  # one row a label
     rows = edges.select("label", "src", "dst", "dist", F.col("overlap").cast("int").alias("overlap"), F.lit(False).alias("blocks"))
     if blockers is not None:
         rows = rows.unionByName(blockers.select("label", "src", "dst", F.lit(0.0).alias("dist"), F.lit(0).alias("overlap"), F.lit(True).alias("blocks")))
-    rows = rows.join(limits, "label").join(at, "dst").select("label", "src", "dst", "dist", "overlap", "degree", "blocks", "v")
-    return rows.repartition("label", "src").sortWithinPartitions("label", "src", "dist", "overlap", "dst").mapInArrow(_pruned(alpha), _EDGE)
+    rows = cut(rows, "edges")
+    groups = rows.groupBy("label").agg(F.ceil(F.count("*") / GROUP_EDGES).cast("int").alias("groups"))
+    limits = F.broadcast(degree.select("label", "degree").join(groups, "label"))  # one row a label
+    rows = rows.join(limits, "label").withColumn("block", F.pmod(F.xxhash64("src"), F.col("groups")).cast("int"))
+    null = lambda kind: F.lit(None).cast(kind)
+    kinds = {"label": "long", "block": "int", "asks": "boolean", "blocks": "boolean", "src": "long", "dst": "long", "dist": "double", "overlap": "int", "v": "array<double>", "degree": "int"}
+    put = lambda df, **own: df.select(*[own.get(c, F.col(c) if c in df.columns else null(k)).cast(k).alias(c) for c, k in kinds.items()])
+    needed = rows.select("label", "block", "dst").distinct().join(vectors.select(F.col("id").alias("dst"), "v"), "dst")
+    met = put(needed, asks=F.lit(False)).unionByName(put(rows, asks=F.lit(True)))
+    return met.repartition("label", "block").sortWithinPartitions("label", "block", "asks", "src", "dist", "overlap", "dst").mapInArrow(_pruned(alpha), _EDGE)
 
 
 def with_reverse(edges: DataFrame) -> DataFrame:
@@ -135,14 +150,14 @@ def build(points: DataFrame, centroids: DataFrame, members: DataFrame, labels: D
     found = cut(candidates(points, centroids, members, cfg, dim), "candidates")
     common = shared_candidates(found, labels, cfg.min_shared).withColumn("label", F.lit(-1).cast("long"))
     one = labels.sparkSession.createDataFrame([(-1, cfg.shared_degree)], "label long, degree int")
-    shared = prune(common, vectors, one, cfg.alpha)
+    shared = cut(prune(common, vectors, one, cfg.alpha), "first")
     shared = cut(prune(with_reverse(shared), vectors, one, cfg.alpha).drop("label"), "shared")
     # a shared edge blocks in every big label that both its ends have
     limits = cut(degrees(labels, cfg), "degrees")
     big = labels.join(F.broadcast(limits.select("label")), "label")
     blockers = shared.join(big.select(F.col("id").alias("src"), "label"), "src").join(big.select(F.col("id").alias("dst"), "label"), ["dst", "label"]).select("label", "src", "dst")
     blockers = cut(blockers, "blockers")
-    single = prune(found.withColumn("overlap", F.lit(0)), vectors, limits, cfg.alpha, blockers)
+    single = cut(prune(found.withColumn("overlap", F.lit(0)), vectors, limits, cfg.alpha, blockers), "first")
     single = cut(prune(with_reverse(single), vectors, limits, cfg.alpha, blockers).drop("overlap"), "single")
     entries = points.groupBy("label").agg(F.min_by("id", F.xxhash64("id")).alias("id"))
     return single, shared, entries
@@ -196,23 +211,39 @@ def search(queries: DataFrame, single: DataFrame, shared: DataFrame, entries: Da
     edges = single.join(wanted, "label").select("label", "src", "dst").unionByName(inside).distinct()
     out = edges.groupBy("label", "src").agg(F.collect_list("dst").alias("out"))  # bounded by the degrees
     first = entries.select("label", F.col("id"), F.lit(True).alias("entry"))
-    graph = within.join(vectors, "id").join(out.withColumnRenamed("src", "id"), ["label", "id"], "left").join(first, ["label", "id"], "left").select("label", "id", F.col("v").cast("array<double>").alias("v"), "out", F.coalesce("entry", F.lit(False)).alias("entry"))
-    graph = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.select("label", "qid", F.col("qv").cast("array<double>").alias("qv"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
+    graph = within.join(vectors, "id").join(out.withColumnRenamed("src", "id"), ["label", "id"], "left").join(first, ["label", "id"], "left").select("label", "id", "v", "out", F.coalesce("entry", F.lit(False)).alias("entry"))
+    spread = F.broadcast(queries.groupBy("label").agg(F.least(F.lit(blocks), F.ceil(F.count("*") / QUERIES)).cast("int").alias("blocks")))  # one row a label
+    graph = graph.join(spread, "label").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = queries.select("label", "qid", "qv").join(spread, "label").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
+    row = lambda df, asks, name, v, out, entry: df.select(F.col("label").cast("long").alias("label"), "block", F.lit(asks).alias("asks"), F.col(name).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v"), out.cast("array<long>").alias("out"), entry.alias("entry"))
+    met = row(graph, False, "id", "v", F.col("out"), F.col("entry")).unionByName(row(asked, True, "qid", "qv", F.lit(None), F.lit(False)))
     k, width = cfg.k, cfg.beam
 
-    def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(q) and len(g):
-            g = g.sort_values("id")
-            ids, at = g.id.tolist(), {x: i for i, x in enumerate(g.id)}
-            vectors = np.array(g.v.tolist())
-            near = {x: list(o) for x, o in zip(g.id, g.out, strict=True) if o is not None}
-            # several entries, so that islands of the batch build are reached
-            start = sorted({*g.id[g.entry].tolist(), *ids[:: max(1, len(ids) // 8)]})
-            for qid, qv in zip(q.qid, q.qv, strict=True):
-                best, counts = beam(np.array(qv), start, near, at, vectors, k, width)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for new, asks, piece in pieces(batches, 2):
+            if new:
+                held, at = [], None
+            if not asks:
+                held.append(piece)
+                continue
+            if not held:
+                continue
+            if at is None:
+                ids, vectors = np.asarray(column(held, 3)).tolist(), _matrix(column(held, 4))
+                at = {x: i for i, x in enumerate(ids)}
+                near = {x: list(o) for x, o in zip(ids, column(held, 5).to_pylist(), strict=True) if o is not None}
+                # several entries, so that islands of the batch build are reached
+                start = sorted({*(x for x, e in zip(ids, column(held, 6).to_pylist(), strict=True) if e), *ids[:: max(1, len(ids) // 8)]})
+                held = held[:1]
+            rows = []
+            for qid, qv in zip(piece.column(3).to_pylist(), _matrix(pa.concat_arrays([piece.column(4)])), strict=True):
+                best, counts = beam(qv, start, near, at, vectors, k, width)
                 rows += [(qid, r + 1, x, d, *counts) for r, (d, x) in enumerate(best)]
-        return pd.DataFrame(rows, columns=["qid", "rank", "id", "dist", "dist_comps", "hops", "pushed"])
+            kinds = [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 3
+            names = ["qid", "rank", "id", "dist", "dist_comps", "hops", "pushed"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
-    return asked.groupBy("label", "block").cogroup(graph.groupBy("label", "block")).applyInPandas(run, "qid long, rank long, id long, dist double, dist_comps long, hops long, pushed long")
+    met = met.repartition("label", "block").sortWithinPartitions("label", "block", "asks", "id")
+    return met.mapInArrow(run, "qid long, rank long, id long, dist double, dist_comps long, hops long, pushed long")

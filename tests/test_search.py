@@ -122,3 +122,37 @@ def test_sparse_products_meet_in_groups(spark, monkeypatch, kind):
         found.setdefault(r.qid, []).append((-r.dist, r.id))
     assert found == best
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_clusters_meet_queries_in_groups(spark, monkeypatch, kind):
+    """Labels beyond a group, split clusters and batches give what one group gives, and what brute force gives; no join makes pairs."""
+    v, tags, vectors, rel = make(spark, n=90, dim=4, seed=5)
+    vectors = vectors.withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    points = ivf.points_of(rel, vectors, labels.big_labels(rel, 1))
+    asked = [(q, v[q].tolist(), q % 3, [(q + 1) % 3]) for q in range(0, 90, 7)]
+    queries = spark.createDataFrame(asked, "qid long, qv array<double>, label long, qlabels array<long>").withColumn("qv", F.col("qv").cast(f"array<{kind}>"))
+    tagged = vectors.join(labels.label_rows(rel), "id")
+    seen = []
+    for size in (64 << 20, 8 * 4 * 7):
+        monkeypatch.setattr(blocks, "GROUP_BYTES", size)
+        centroids, members = ivf.kmeans(points, 12, 4, kind, 3)
+        ranks = ivf.rank_centroids(queries, centroids, 4, kind)
+        some, every = (ivf.probe(queries, centroids, members, tagged, 5, n, 4, kind) for n in (2, 100))
+        passes = queries.select("qid", F.explode("qlabels").alias("label")).join(rel, "label").select("qid", "id")
+        for n, (found, cost) in ((2, some), (100, every)):
+            plain, plain_cost = ivf.probe(queries.drop("qlabels"), centroids, members, vectors, 5, n, 4, kind, passes)
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+            assert sorted(map(tuple, cost.collect())) == sorted(map(tuple, plain_cost.collect()))
+        got = {}
+        for r in every[0].orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append(r.id)
+        assert got == {q: brute(v, tags, v[q], [a, *b], 5) for q, _, a, b in asked}
+        near = ivf.rank_centroids(queries, centroids, 4, kind, 2)
+        assert sorted(map(tuple, near.collect())) == sorted(map(tuple, ranks.where("place <= 2").collect()))
+        own = {(r.label, r.cid): r.cv for r in centroids.collect()}
+        for r in ivf.assign(points, centroids, 4, kind).collect():
+            assert (r.dist, r.cid) == min((sum((x - y) ** 2 for x, y in zip(v[r.id], c, strict=True)), j) for (label, j), c in own.items() if label == r.label)
+        seen.append(([sorted(map(repr, x.collect())) for x in (centroids, members)]))
+    if kind == "long":
+        assert seen[0] == seen[1]
