@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.blocks import _matrix
-from lodestar.operators.labels import label_sizes, overlap
+from lodestar.operators.labels import label_rows, label_sizes, overlap
 from lodestar.plans.cells import column, pieces, search_cells
 from lodestar.plans.ivf import rank_centroids
 from lodestar.schema import SearchConfig
@@ -30,11 +30,12 @@ QUERIES = 256
 PRUNE_RATIO = 1.35
 
 
-def candidates(points: DataFrame, centroids: DataFrame, members: DataFrame, cfg: SearchConfig, dim: int) -> DataFrame:
-    """label, src, dst, dist: the build_candidates nearest rows in the nprobe nearest clusters of the label."""
-    asked = points.select("label", F.col("id").alias("qid"), F.col("v").alias("qv"))
+def candidates(points: DataFrame, centroids: DataFrame, members: DataFrame, cfg: SearchConfig, dim: int, labels: DataFrame) -> DataFrame:
+    """label, src, dst, dist, overlap (common labels, at most 255): the build_candidates nearest rows in the nprobe nearest clusters of the label."""
+    points = points.join(label_rows(labels), "id", "left")
+    asked = points.select("label", F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("labels").alias("tags"))
     cells = rank_centroids(asked, centroids, dim, "double", cfg.nprobe).select("label", "qid", "cid")
-    scored = search_cells(asked, cells, members, points, cfg.build_candidates, dim, exclude_self=True).select("label", F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
+    scored = search_cells(asked, cells, members, points, cfg.build_candidates, dim, exclude_self=True).select("label", F.col("qid").alias("src"), F.col("id").alias("dst"), "dist", F.least("overlap", F.lit(255)).alias("overlap"))
     place = F.row_number().over(Window.partitionBy("label", "src").orderBy("dist", "dst"))
     return scored.withColumn("place", place).where(F.col("place") <= cfg.build_candidates).drop("place")
 
@@ -123,7 +124,6 @@ def prune(edges: DataFrame, vectors: DataFrame, degree: DataFrame, alpha: float,
     rows = edges.select("label", "src", "dst", "dist", F.col("overlap").cast("int").alias("overlap"), F.lit(False).alias("blocks"))
     if blockers is not None:
         rows = rows.unionByName(blockers.select("label", "src", "dst", F.lit(0.0).alias("dist"), F.lit(0).alias("overlap"), F.lit(True).alias("blocks")))
-    rows = cut(rows, "edges")
     groups = rows.groupBy("label").agg(F.ceil(F.count("*") / GROUP_EDGES).cast("int").alias("groups"))
     limits = F.broadcast(degree.select("label", "degree").join(groups, "label"))  # one row a label
     rows = rows.join(limits, "label").withColumn("block", F.pmod(F.xxhash64("src"), F.col("groups")).cast("int"))
@@ -140,15 +140,17 @@ def with_reverse(edges: DataFrame) -> DataFrame:
 
 
 def shared_candidates(found: DataFrame, labels: DataFrame, min_shared: int) -> DataFrame:
-    """src, dst, dist, overlap of candidates with at least min_shared common labels."""
+    """src, dst, dist, overlap of candidates with at least min_shared common labels, which are counted here if found does not tell."""
+    if "overlap" in found.columns:
+        return found.where(F.col("overlap") >= min_shared).groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("overlap").alias("overlap"))
     pairs = found.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
     return pairs.join(overlap(labels, pairs.select("src", "dst")), ["src", "dst"]).where(F.col("overlap") >= min_shared)
 
 
 def build(points: DataFrame, centroids: DataFrame, members: DataFrame, labels: DataFrame, vectors: DataFrame, cfg: SearchConfig, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(single: label, src, dst, dist; shared: src, dst, dist, overlap; entries: label, id)."""
-    found = cut(candidates(points, centroids, members, cfg, dim), "candidates")
-    common = shared_candidates(found, labels, cfg.min_shared).withColumn("label", F.lit(-1).cast("long"))
+    found = cut(candidates(points, centroids, members, cfg, dim, labels), "candidates")
+    common = cut(shared_candidates(found, labels, cfg.min_shared), "common").withColumn("label", F.lit(-1).cast("long"))
     one = labels.sparkSession.createDataFrame([(-1, cfg.shared_degree)], "label long, degree int")
     shared = cut(prune(common, vectors, one, cfg.alpha), "first")
     shared = cut(prune(with_reverse(shared), vectors, one, cfg.alpha).drop("label"), "shared")

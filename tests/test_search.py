@@ -156,3 +156,33 @@ def test_clusters_meet_queries_in_groups(spark, monkeypatch, kind):
         seen.append(([sorted(map(repr, x.collect())) for x in (centroids, members)]))
     if kind == "long":
         assert seen[0] == seen[1]
+
+
+def test_occlusion_and_overlap_equal_brute_force(spark):
+    def plain(dist, vectors, degree, alpha, blockers):
+        kept = []
+        for a in (1.0, alpha):
+            for i in range(len(dist)):
+                if len(kept) < degree and i not in kept and all(a * ((x - vectors[i]) ** 2).sum() > dist[i] for x in [*vectors[kept], *blockers]):
+                    kept.append(i)
+        return sorted(kept)
+
+    rng = np.random.default_rng(2)
+    for n in range(1, 60):
+        x = rng.integers(0, 5, (n, 3)).astype(float)
+        dist = (x**2).sum(1)
+        x, dist = x[np.argsort(dist, kind="stable")], np.sort(dist)
+        blockers = rng.integers(0, 5, (n % 3, 3)).astype(float)
+        assert hybrid_graph.occlusion_prune(dist, x, 6, 1.2, blockers) == plain(dist, x, 6, 1.2, blockers)
+
+    v, tags, vectors, rel = make(spark, n=60, dim=4, seed=8)
+    cfg = SearchConfig(big_cutoff=1, cluster_size=10, nprobe=2, build_candidates=5)
+    points = ivf.points_of(rel, vectors, labels.big_labels(rel, 1))
+    centroids, members = ivf.kmeans(points, cfg.cluster_size, 4, "double", 3)
+    found = hybrid_graph.candidates(points, centroids, members, cfg, 4, rel)
+    told = {(r.src, r.dst): r.overlap for r in found.collect()}
+    assert told == {(a, b): len(set(tags[a]) & set(tags[b])) for a, b in told}
+    known = labels.overlap(rel, found.select("src", "dst").distinct())
+    assert told == {(r.src, r.dst): r.overlap for r in known.collect()}
+    want = sorted(map(tuple, hybrid_graph.shared_candidates(found.drop("overlap"), rel, 2).collect()))
+    assert sorted(map(tuple, hybrid_graph.shared_candidates(found, rel, 2).collect())) == want
