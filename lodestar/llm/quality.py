@@ -5,8 +5,8 @@ language by the Jensen-Shannon distance (base 2, so from 0 to 1); the nearest la
 is rejected if it fails the base rules or if a distance exceeds its limit. Texts with fewer than
 MIN_CHARS characters or MIN_WORDS words aren't judged by the respective histogram.
 
-References are fitted on a bounded sample of every language: about FIT_DOCS whole documents, picked by
-a hash; a language's common words are the COMMON most frequent of its sample.
+References are fitted on all documents of every language; a language's common words are the COMMON most
+frequent of them. A fitting task passes its counts on when it holds FIT_WORDS of them.
 Without any reference only the base rules hold.
 
 Words are [^\\x20\\x09-\\x0D]+ of the whole text. Null texts have no words and so fail. Rows are judged
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut, sampled
+from lodestar.llm.common import cut
 
-FIT_DOCS, COMMON, MIN_CHARS, MIN_WORDS, CHAR_LIMIT, WORD_LIMIT = 2000, 100, 200, 100, 0.28, 0.41
+FIT_WORDS, COMMON, MIN_CHARS, MIN_WORDS, CHAR_LIMIT, WORD_LIMIT = 1 << 18, 100, 200, 100, 0.28, 0.41
 #: The contract's symbols.
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "letter", "digit", "space", "mark", "symbol", "other")
@@ -110,19 +110,28 @@ class References:
         return by_char, by_word
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> References:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
+    """References from every document whose text and language are known."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, own in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([not isinstance(k, bytes) for k in own]), pa.array([k if isinstance(k, str) else k.decode() for k in own], pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "is_class", "key", "n"])
+            sums.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = sums.setdefault(lang, Counter())
                 own.update(text.as_py().encode("utf-8").split())
                 own.update({c: int(n) for c, n in zip(CLASSES, class_counts(text.as_py()), strict=True)})
-        for lang, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([not isinstance(k, bytes) for k in own]), pa.array([k if isinstance(k, str) else k.decode() for k in own], pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "is_class", "key", "n"])
+                if sum(map(len, sums.values())) >= FIT_WORDS:
+                    yield from flush()
+        yield from flush()
 
-    some = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = cut(sampled(some, "lang", FIT_DOCS, "id").select("lang", "text").mapInArrow(count, "lang string, is_class boolean, key string, n long").groupBy("lang", "is_class", "key").agg(F.sum("n").alias("n")), "counts")
+    some = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    counts = cut(some.mapInArrow(count, "lang string, is_class boolean, key string, n long").groupBy("lang", "is_class", "key").agg(F.sum("n").alias("n")), "counts")
     classes: dict[str, list[int]] = {}
     for r in counts.where("is_class").collect():  # a row for each language and class
         classes.setdefault(r.lang, [0] * len(CLASSES))[CLASSES.index(r.key)] = r.n

@@ -388,3 +388,28 @@ def test_language_training_passes_counts_on(spark, monkeypatch):
     parts = language_id.train(rows, "doc_id", "text", "lang")
     assert whole.names == parts.names == ["de", "en"] and (whole.masks == parts.masks).all()
     assert parts.predict("the rain")[0] == "en"
+
+
+def test_prefix_of_the_forest_does_not_depend_on_what_is_seen(spark, monkeypatch):
+    """Neighbours that are nearly equal do not lengthen the prefix, which would risk links at the threshold."""
+    rng, seen = np.random.default_rng(4), []
+    texts = []
+    for _ in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 10_000, 300)]
+        texts += [" ".join(words), " ".join([*words, "end"])]
+    monkeypatch.setattr(jaccard, "meetings", lambda wide, nodes, length, plain=jaccard.meetings: seen.append(length) or plain(wide, nodes, length))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = {r.doc_id: r.class_id for r in jaccard.jaccard_join(table).collect()}
+    assert classes == {i: i - i % 2 for i in range(len(texts))}
+    assert seen == [jaccard.floor_length(jaccard.TREES, jaccard.DEPTH, jaccard.SIMILARITY, jaccard.RECALL)]
+
+
+def test_quality_references_count_every_document(spark, monkeypatch):
+    """2100 short documents and one long one, whatever their ids; counts are passed on in parts."""
+    rows = [(i, "so it goes", "en") for i in range(2100)] + [(5000, "rare " * 7000, "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (1 << 18, 4):
+        monkeypatch.setattr(quality, "FIT_WORDS", most)
+        references = quality.fit(table)
+        assert dict(zip(references.common[0], references.words[0].tolist(), strict=False)) == {b"rare": 7000, b"so": 2100, b"it": 2100, b"goes": 2100}
+        assert references.classes[0].sum() == sum(len(t) for _, t, _ in rows)
