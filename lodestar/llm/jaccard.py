@@ -6,10 +6,8 @@
    that order that share a prefix are neighbours in the tree's trie; a pass over the sorted rows tells how
    many values each row shares with the one before it, and for every prefix length the first row that
    shares it. Prefixes that go on in the next range are joined by the first and last row of each range.
-4. Prefix length: at first only whole paths match. The matched prefix is shortened value by value until the
-   expected recall of the links reaches its target. The estimate weighs trie neighbours (a bounded sample,
-   SAMPLE of them) by their similarity, read off the other trees' values, less MARGIN; FLOOR, the
-   longest prefix that reaches the target even if all links were just at the threshold, ends it.
+4. Prefix length: the longest that reaches the expected recall of the links even if all of them were just at
+   the threshold (floor_length). It depends on no data, so no link is risked on what a part of the rows looks like.
 5. Verification: nodes that share a prefix of that length in some tree are linked to the first of them.
    Each component of those links is cut, in the order of its trie, into blobs of at most BLOB nodes and
    BLOB_BYTES bytes of shingles (or one longer text). Two blobs meet if they share a matched prefix; then
@@ -41,8 +39,8 @@ from lodestar.llm.common import components, cut, skew_join
 from lodestar.llm.shingles import mix, shingle_hashes, word_hashes
 
 SIZE, SIMILARITY, TREES, DEPTH, RECALL = 5, 0.8, 24, 10, 0.9999
-#: Trie neighbours whose similarity is estimated, and how much less than its estimate a similarity counts.
-SAMPLE, MARGIN = 20_000, 0.05
+#: How much less than its estimate a similarity counts in prefix_length().
+MARGIN = 0.05
 #: Nodes and bytes of a blob, columns of an incidence matrix, shingles hashed at once, blobs of a prefix that meet in one group.
 BLOB, BLOB_BYTES, COLUMNS, AT_ONCE, CHUNK = 256, 4 << 20, 8192, 1 << 15, 256
 
@@ -57,7 +55,7 @@ def floor_length(trees: int, depth: int, similarity: float, recall: float) -> in
 def prefix_length(near: np.ndarray, floor: int, trees: int, depth: int, similarity: float, recall: float) -> int:
     """The prefix shortened from depth until the links expected from these similarities of trie neighbours reach the recall.
 
-    A neighbour at similarity s comes up in proportion to s**floor, so it counts with the inverse.
+    For callers that know the similarities of all neighbours; classes() takes the floor, which needs none. A neighbour at similarity s comes up in proportion to s**floor, so it counts with the inverse.
     """
     s = np.clip(near[near >= similarity - MARGIN] - MARGIN, similarity, 1.0)
     if not len(s):
@@ -185,25 +183,6 @@ def across(trie: DataFrame) -> list[tuple[int, int, int]]:
     return out
 
 
-def similarities(trie: DataFrame, nodes: DataFrame, floor: int) -> np.ndarray:
-    """Estimated similarities of about SAMPLE trie neighbours, from the values of the other trees."""
-    links = trie.where("lcp is not null")
-    every = max(1, links.count() // SAMPLE)
-    picked = links.where(F.pmod(F.xxhash64("node", "tree"), F.lit(every)) == 0).select("tree", F.col("node").alias("a"), F.element_at("firsts", F.col("lcp") - floor + 1).alias("b"))
-    sides = [nodes.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = []
-            for tree, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                equal = np.frombuffer(a, np.uint16).reshape(TREES, DEPTH) == np.frombuffer(b, np.uint16).reshape(TREES, DEPTH)
-                same.append(float(np.delete(equal, tree, axis=0).mean()) if TREES > 1 else 1.0)
-            yield pa.RecordBatch.from_arrays([pa.array(same, pa.float64())], names=["s"])
-
-    found = picked.join(sides[0], "a").join(sides[1], "b").select("tree", "sa", "sb").mapInArrow(run, "s double")
-    return np.array([r.s for r in found.collect()])  # bounded by SAMPLE
-
-
 def linked(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
     """Which sets (sorted, without repeats) of left and right are at least that similar."""
     sides = left if right is left else [*left, *right]
@@ -369,13 +348,12 @@ def meetings(wide: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
 
 def classes(signed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """digest, weight, class_id, n_links, first, stays (whether it stands for its class) of every distinct text of signatures(docs)."""
-    floor = floor_length(TREES, DEPTH, similarity, recall)
+    length = floor_length(TREES, DEPTH, similarity, recall)
     nodes = nodes_of(signed)
-    trie = forest(nodes, floor)
-    length = prefix_length(similarities(trie, nodes, floor), floor, TREES, DEPTH, similarity, recall)
+    trie = forest(nodes, length)
     spark = docs.sparkSession
     ends = spark.createDataFrame([(a, b) for a, b, n in across(trie) if n >= length], "a long, b long")
-    links = trie.where(F.col("lcp") >= length).select(F.col("node").alias("a"), F.element_at("firsts", length - floor + 1).alias("b")).unionByName(ends)
+    links = trie.where(F.col("lcp") >= length).select(F.col("node").alias("a"), F.element_at("firsts", 1).alias("b")).unionByName(ends)
     parts = components(links.where("a <> b").distinct())
     members = parts.join(nodes, F.col("id") == F.col("node")).select("component", "node", "weight", F.col("first.doc_id").alias("i"), F.col("first.raw").alias("r"), F.substring("signature", 1, 2 * DEPTH).alias("path"))
     texts = keyed(docs, id_col, text_col, F.col(text_col).cast("string").alias("text"))
