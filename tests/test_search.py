@@ -186,3 +186,25 @@ def test_occlusion_and_overlap_equal_brute_force(spark):
     assert told == {(r.src, r.dst): r.overlap for r in known.collect()}
     want = sorted(map(tuple, hybrid_graph.shared_candidates(found.drop("overlap"), rel, 2).collect()))
     assert sorted(map(tuple, hybrid_graph.shared_candidates(found, rel, 2).collect())) == want
+
+
+def test_routed_index_misses_no_neighbour(spark, monkeypatch):
+    """Narrow probes and beams, islands, copies, split clusters and several groups: the routed index still gives what exact search gives."""
+    monkeypatch.setattr(blocks, "GROUP_BYTES", 8 * 6 * 50)
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(120, 6)), rng.normal(size=(60, 6)) + 40, np.tile(np.full(6, 7.5), (70, 1))])
+    rel = spark.createDataFrame([(i, j) for i in range(len(v)) for j in range(3) if rng.random() < 0.6], "id long, label long")
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    cfg = SearchConfig(k=5, big_cutoff=10, precomp_cutoff=5, cluster_size=20, nprobe=1, beam=5, build_candidates=4, degrees=((1 << 62, 3),), shared_degree=1, graph_rows=140)
+    points = ivf.points_of(rel, vectors, labels.big_labels(rel, cfg.big_cutoff))
+    lists = ivf.kmeans(points, cfg.cluster_size, 6, "double", 2)
+    graph = hybrid_graph.build(points, *lists, rel, vectors, cfg, 6)
+    asked = [(q, v[q].tolist(), [q % 3]) for q in range(0, 250, 7)] + [(1000 + q, (v[q] + 0.5).tolist(), [q % 3, (q + 1) % 3]) for q in range(0, 250, 7)]
+    queries = spark.createDataFrame(asked, "qid long, qv array<double>, qlabels array<long>")
+    routed = router.routed_search(queries, rel, vectors, cfg, 6, "double", router.indexed(rel, vectors, lists, graph, cfg, 6, "double"))
+    assert {r.strategy for r in routed.select("strategy").distinct().collect()} == {"hybridgraph", "ivf"}
+    rows = lambda df: sorted((r.qid, r["rank"], r.id, round(r.dist, 9)) for r in df.collect())
+    assert rows(routed) == rows(knn.filtered_knn(queries, rel, vectors, 5))
+    nothing = routed.limit(0).select("qid", "rank", "id", "dist")
+    label = queries.where("size(qlabels) = 1").select("qid", "qv", F.col("qlabels")[0].alias("label"))
+    assert rows(ivf.complete(label, nothing, lists[1], vectors, 5, 6, "double")) == rows(knn.filtered_knn(queries.where("qid < 1000"), rel, vectors, 5))
